@@ -7,13 +7,51 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, copies, frequency, leaks, neardup, splits
+from textloom.llm import abuse, bpe, clusters, copies, frequency, leaks, neardup, neighbours, splits, vectors
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def _corpus_units(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.unit_vectors(_read(spark, folder, "corpus_embedding"), "vec_id", "embedding", F.col("embedding_model"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    near = neighbours.most_similar(_corpus_units(spark, folder), 5, 0.9)
+    return near.select(F.least("id", "nbr").alias("vec_a"), F.greatest("id", "nbr").alias("vec_b")).distinct()
+
+
+def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    near = neighbours.most_similar(_corpus_units(spark, folder), 5, asked=F.col("id") % 20 == 0)
+    return near.select(F.col("id").alias("vec_id"), F.col("nbr").alias("neighbour_id"), "rank", "cosine_similarity")
+
+
+def p1_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Recall of the index against brute force, over the rows whose id is divisible by 20."""
+    units = _corpus_units(spark, folder)
+    asked = F.col("id") % 20 == 0
+    near, exact = neighbours.most_similar(units, 5, asked=asked), neighbours.exact_similar(units, 5, asked)
+    worst = exact.groupBy("id").agg(F.min("cosine_similarity").alias("worst"), F.count("*").alias("wanted"))
+    got = near.join(worst, "id").where(F.col("cosine_similarity") >= F.col("worst") - 1e-6).groupBy("id").agg(F.count("*").alias("got"))
+    both = worst.join(got, "id", "left")
+    return both.agg(F.count("*").alias("queries"), (F.sum(F.least(F.coalesce("got", F.lit(0)), "wanted")) / F.sum("wanted")).alias("recall"))
+
+
+def _clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters.clusters(vectors.unit_vectors(_read(spark, folder, "embedded_query"), "row_id", "embedding").select("id", "unit"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _clusters(spark, folder).select(F.col("id").alias("row_id"), "cluster_id")
+
+
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    texts = _read(spark, folder, "embedded_query").select(F.col("row_id").alias("id"), F.col("query").alias("text"))
+    return clusters.describe(_clusters(spark, folder), texts)
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return splits.tied_groups(_read(spark, folder, "query_record"), "row_id", ["paragraph_id", "source"])
 
@@ -84,6 +122,21 @@ def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
     return documents.join(_leaks(spark, folder).select("doc_id").distinct(), "doc_id", "left_anti")
 
 
+def _abuse(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _read(spark, folder, "documents")
+    model = abuse.learn(abuse.labelled_texts(documents, "doc_id", "text", _read(spark, folder, "doc_label"), "toxic"))
+    return abuse.scored(documents, "doc_id", "text", model)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _abuse(spark, folder).where("toxic").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _abuse(spark, folder).join(_read(spark, folder, "documents").select("doc_id", "source"), "doc_id")
+    return rows.groupBy("source").agg(F.count("*").alias("documents"), F.count_if("toxic").alias("toxic"), F.avg(F.col("toxic").cast("int")).alias("rate"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
 
