@@ -157,7 +157,7 @@ def _records(texts: DataFrame, tables: list[str], occupancy: np.ndarray, thresho
         again = np.repeat(np.arange(len(starts)), salts)
         salt = np.arange(len(again)) - (np.cumsum(salts) - salts)[again]
         starts, owner, width, salts = starts[again], owner[again], width[again], salts[again]
-        part = (unit[starts] * 2654435761 + salt * 40503) % parts
+        part = (((unit[starts] * 2654435761) >> 20) + salt * 40503) % parts
         order = np.argsort(part, kind="stable")
         tbl = np.array([tables.index(t) for t in batch.column(0).to_pylist()], np.int64)
         ids = batch.column(1).to_numpy()
@@ -178,7 +178,7 @@ def _records(texts: DataFrame, tables: list[str], occupancy: np.ndarray, thresho
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in made], pa.int32()), pa.array([b for _, b in made], pa.binary())], names=["part", "block"])
 
     made = texts.select("tbl", "id", "n", "marks").mapInArrow(built, "part int, block binary")
-    return made.repartition(parts, "part")
+    return made.repartition(2 * parts, "part").sortWithinPartitions("part")
 
 
 def _pairs_in_runs(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -248,34 +248,39 @@ def _candidates(records: DataFrame, tables: list[str], threshold: float) -> Data
             own, parent = np.repeat(own, more), np.repeat(parent, more)
             level += 1
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [x for b in batches for x in b.column("block").to_pylist()]
-        if not blobs:
-            return
+    kind = np.dtype([("t", "u1"), ("a", "<i8"), ("b", "<i8")])
+
+    def one_part(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         r = _unpack(blobs)
-        del blobs
         held: list[np.ndarray] = []
         count = 0
-
-        def merged() -> np.ndarray:
-            return np.unique(np.concatenate(held)) if held else np.zeros(0, np.dtype([("t", "u1"), ("a", "<i8"), ("b", "<i8")]))
-
         with np.errstate(over="ignore"):
             for a, b in cells(r):
-                if not len(a):
-                    continue
-                pair = np.empty(len(a), np.dtype([("t", "u1"), ("a", "<i8"), ("b", "<i8")]))
-                pair["t"], pair["a"], pair["b"] = r["tbl"][a], np.minimum(r["id"][a], r["id"][b]), np.maximum(r["id"][a], r["id"][b])
-                held.append(pair)
-                count += len(pair)
+                if len(a):
+                    pair = np.empty(len(a), kind)
+                    pair["t"], pair["a"], pair["b"] = r["tbl"][a], np.minimum(r["id"][a], r["id"][b]), np.maximum(r["id"][a], r["id"][b])
+                    held.append(pair)
+                    count += len(pair)
                 if count > 4_000_000:
-                    held = [merged()]
+                    held = [np.unique(np.concatenate(held))]
                     count = len(held[0]) // 2
-            pairs = merged()
+        pairs = np.unique(np.concatenate(held)) if held else np.zeros(0, kind)
         for i in range(0, len(pairs), 100_000):
             p = pairs[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array([tables[t] for t in p["t"].tolist()], pa.string()), pa.array(np.ascontiguousarray(p["a"])), pa.array(np.ascontiguousarray(p["b"]))], names=["tbl", "a", "b"])
 
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, blobs = -1, []
+        for batch in batches:
+            for p, blob in zip(batch.column("part").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                if p != part and blobs:
+                    yield from one_part(blobs)
+                    blobs = []
+                part = p
+                blobs.append(blob)
+        if blobs:
+            yield from one_part(blobs)
+
     return records.mapInArrow(joined, "tbl string, a bigint, b bigint")
 
 
