@@ -148,8 +148,11 @@ class Reader:
         self.entries = set(entries)
         self.common = set(common) - self.entries
         self.trie = Trie(sorted(self.entries))
+        self.heads = {e[:i] for e in self.entries for i in range(len(e) + 1)}
+        self.tails = {e[i:] for e in self.entries for i in range(len(e) + 1)}
         self.keep = keep
         self.known: dict[str, str] = {}
+        self.scores: dict[str, float] = {}
 
     def word(self, w: str) -> str:
         """The entry a word stands for; itself if it is an ordinary word, else a place holder."""
@@ -160,6 +163,13 @@ class Reader:
             got = self.known[w] = self._look(w)
         return got
 
+    def _once(self, w: str) -> str | None:
+        """The entry within one edit; the edit leaves one half of the word as it is, which most words have in no entry."""
+        half = len(w) // 2
+        if w.isalpha() and w[:half] not in self.heads and w[half:] not in self.tails:
+            return None
+        return Automaton(w, 1).search(self.trie)
+
     def _look(self, w: str) -> str:
         if w in self.entries or w in self.common:
             return w
@@ -176,9 +186,9 @@ class Reader:
                 return swapped
         found = Automaton(w, 0).search(self.trie) if odd else None
         if found is None and len(w) > 3:
-            found = Automaton(w, 1).search(self.trie)
+            found = self._once(w)
         if found is None and short != w and len(short) > 3:
-            found = Automaton(short, 1).search(self.trie)
+            found = self._once(short)
         if found is None and odd and len(w) > 7:
             found = Automaton(w, 2).search(self.trie)
         return found or "?"
@@ -257,7 +267,12 @@ class Model:
         best, words = -np.inf, []
         for window in windows(text) if text else ():
             read = reader.read(window)
-            s = float(self.weights[features(read)].sum()) + self.bias
+            name = " ".join(read)
+            s = reader.scores.get(name)
+            if s is None:
+                if len(reader.scores) >= reader.keep:
+                    reader.scores.clear()
+                s = reader.scores[name] = float(self.weights[features(read)].sum()) + self.bias
             if s > best:
                 best, words = s, read
         return best, words
