@@ -147,16 +147,34 @@ w AS (SELECT row_id, unnest(list_transform(regexp_extract_all(query, '[\\p{L}\\p
 c AS (SELECT term, count(*) AS occurrences, count(DISTINCT row_id) AS records FROM w GROUP BY term),
 m AS (SELECT *, CASE WHEN records > 0.1 * (SELECT count(*) FROM q) THEN 'common' WHEN records <= 2 THEN 'rare' END AS mark FROM c)
 """
-_CANON = """
-WITH t AS (
-  SELECT 'query_record' AS tbl, row_id AS id, lower(regexp_replace(query, '[^\\p{L}\\p{N}]+', '', 'g')) AS canon FROM query_record
-  UNION ALL
-  SELECT 'corpus_record', row_id, lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g')) FROM corpus_record)
+_NGRAMS = """
+WITH q AS (SELECT row_id, list_transform(regexp_extract_all(query, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) AS tok FROM query_record WHERE query IS NOT NULL),
+w AS (SELECT row_id, 1 AS n, unnest(tok) AS term FROM q UNION ALL SELECT row_id, 2, unnest(CASE WHEN len(tok) >= 2 THEN list_transform(range(1, len(tok)), lambda i: tok[i] || ' ' || tok[i + 1]) ELSE [] END) FROM q),
+c AS (SELECT term, n, count(*) AS occurrences, count(DISTINCT row_id) AS records FROM w GROUP BY term, n)
+SELECT term, CAST(n AS INT) AS n, occurrences, records, CASE WHEN records > 0.1 * (SELECT count(*) FROM query_record) THEN 'common' END AS mark FROM c WHERE records > 2
+"""
+_PAIRS = """
+WITH e AS (SELECT vec_id, embedding_model AS m, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM corpus_embedding
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS c FROM e a JOIN e b ON a.m = b.m AND a.vec_id <> b.vec_id),
+r AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS place FROM s WHERE c >= 0.9)
+SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM r WHERE place <= 5
+"""
+_LEAKS = """
+WITH i AS (SELECT item_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) AS tok FROM heldout_item WHERE text IS NOT NULL),
+d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) AS tok FROM documents WHERE text IS NOT NULL),
+ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(tok) - least(12, len(tok)) + 2), lambda k: array_to_string(tok[k:k + least(12, len(tok)) - 1], ' '))) AS g FROM i WHERE len(tok) > 0),
+l AS (SELECT DISTINCT least(12, len(tok)) AS n FROM i WHERE len(tok) > 0),
+dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(tok) - n + 2), lambda k: array_to_string(tok[k:k + n - 1], ' '))) AS g FROM d, l WHERE len(tok) >= n)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 """
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _PAIRS,
+        "p8_found": _LEAKS,
+        "p6_ngrams": _NGRAMS,
         "p6_found": _TERMS + "SELECT term, mark FROM m WHERE mark IS NOT NULL",
         "p6_terms": _TERMS + "SELECT term, occurrences, records, mark FROM m",
     }
