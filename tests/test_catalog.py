@@ -1,0 +1,45 @@
+"""Every query of the catalogue against its SQL, on the smallest of the given tables."""
+
+import decimal
+import math
+import os
+from collections import Counter
+
+import pytest
+
+from textloom.plans import catalog
+
+FOLDER = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = pytest.importorskip("duckdb").connect()
+    for name in os.listdir(FOLDER):
+        con.execute(f"create view {name.removesuffix('.parquet')} as select * from '{FOLDER}/{name}'")
+    return con
+
+
+def plain(v):
+    if isinstance(v, decimal.Decimal):
+        v = float(v)
+    if isinstance(v, float):
+        return None if math.isnan(v) else round(v, 5) + 0.0
+    return v
+
+
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
+def test_equals_sql(spark, duck, name):
+    got = catalog.QUERIES[name](spark, FOLDER)
+    names = sorted(got.columns)
+    cursor = duck.execute(catalog.SQL[name])
+    theirs = [c[0] for c in cursor.description]
+    assert sorted(theirs) == names
+    want = Counter(tuple(plain(r[theirs.index(n)]) for n in names) for r in cursor.fetchall())
+    assert Counter(tuple(plain(r[n]) for n in names) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
+def test_runs(spark, name):
+    assert catalog.QUERIES[name](spark, FOLDER).count() >= 0
