@@ -23,8 +23,10 @@ from textloom.plans.materialize import Workspace
 SAMPLE = 20_000
 #: Vectors that a part should hold.
 PART = 2_000
-#: Parts that a vector is looked for in.
+#: Parts that a vector is looked for in where only close ones are wanted.
 PROBES = 8
+#: Otherwise as many as it takes for its neighbours to be in one of them with this probability.
+MASS = 0.93
 #: Rows of the index, and of queries, that one task holds at once.
 BLOCK, CHUNK = 4_096, 16_384
 
@@ -79,7 +81,7 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int = 6
     return label
 
 
-def learn_router(x: np.ndarray, parts: int, seed: int = 0, graph_k: int = 10, epochs: int = 20) -> np.ndarray:
+def learn_router(x: np.ndarray, parts: int, seed: int = 0, graph_k: int = 20, epochs: int = 20) -> np.ndarray:
     """Weights (components and a constant by part) of a softmax classifier of parts."""
     dim = x.shape[1]
     if parts == 1:
@@ -112,14 +114,14 @@ def learn_router(x: np.ndarray, parts: int, seed: int = 0, graph_k: int = 10, ep
     return w
 
 
-def _routers(classes: DataFrame) -> tuple[dict[str, int], dict[str, np.ndarray]]:
-    """Sizes and classifiers by model; each model's sample is learned from in a task of its own."""
+def _routers(classes: DataFrame, whole: bool) -> dict[str, np.ndarray]:
+    """Classifiers by model; each model's sample (a smaller one unless ``whole``) is learned from in a task of its own."""
     spark = classes.sparkSession
     sizes = {r["model"]: r["n"] for r in classes.groupBy("model").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return {}, {}
+        return {}
     parts = {m: max(1, -(-n // PART)) for m, n in sizes.items()}
-    wanted = {m: min(SAMPLE, max(4_000, 48 * parts[m])) for m in sizes}
+    wanted = {m: SAMPLE if whole else min(SAMPLE, max(4_000, 48 * parts[m])) for m in sizes}
     rates = spark.createDataFrame([(m, min(1.0, wanted[m] / n), min(parts[m], wanted[m] // 16)) for m, n in sizes.items()], "model string, rate double, parts int")
     chosen = classes.join(F.broadcast(rates), "model").where(F.pmod(F.xxhash64("unit"), F.lit(1 << 20)) < F.col("rate") * F.lit(1 << 20))
 
@@ -130,11 +132,11 @@ def _routers(classes: DataFrame) -> tuple[dict[str, int], dict[str, np.ndarray]]
         return pd.DataFrame({"model": [rows["model"].iloc[0]], "parts": [n], "w": [learn_router(x, n).tobytes()]})
 
     made = chosen.groupBy("model").applyInPandas(learned, "model string, parts int, w binary").collect()
-    return sizes, {r["model"]: np.frombuffer(r["w"], np.float32).reshape(-1, r["parts"]) for r in made}
+    return {r["model"]: np.frombuffer(r["w"], np.float32).reshape(-1, r["parts"]) for r in made}
 
 
-def _routed(classes: DataFrame, routers: dict[str, np.ndarray], probes: int) -> DataFrame:
-    """``classes`` with ``probe``: the parts in order of probability, the first being its own."""
+def _routed(classes: DataFrame, routers: dict[str, np.ndarray], probes: int | None) -> DataFrame:
+    """``classes`` with ``probe``: the parts in order of probability, the first being its own; by ``MASS`` if their number isn't given."""
     shared = classes.sparkSession.sparkContext.broadcast(routers)
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,27 +149,32 @@ def _routed(classes: DataFrame, routers: dict[str, np.ndarray], probes: int) ->
                 if w is None or w.shape[1] == 1:
                     continue
                 own = np.flatnonzero(models == model)
-                logits = x[own] @ w[:-1] + 0.1 * w[-1]
-                n = min(probes, w.shape[1])
-                top = np.argpartition(-logits, n - 1, axis=1)[:, :n]
-                top = np.take_along_axis(top, np.argsort(-np.take_along_axis(logits, top, 1), axis=1, kind="stable"), 1)
-                for i, row in zip(own.tolist(), top.tolist(), strict=True):
-                    probe[i] = row
+                p = x[own] @ w[:-1] + 0.1 * w[-1]
+                p = np.exp(p - p.max(1, keepdims=True))
+                p /= p.sum(1, keepdims=True)
+                order = np.argsort(-p, axis=1, kind="stable")
+                if probes is None:
+                    count = (np.cumsum(np.take_along_axis(p, order, 1), 1) < MASS).sum(1) + 1
+                else:
+                    count = np.full(len(own), probes)
+                for i, row, n in zip(own.tolist(), order.tolist(), count.tolist(), strict=True):
+                    probe[i] = row[:n]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(probe, pa.list_(pa.int32()))], names=["id", "model", "unit", "probe"])
 
     return classes.select("id", "model", "unit").mapInArrow(routed, "id bigint, model string, unit binary, probe array<int>")
 
 
-def nearest(classes: DataFrame, k: int, workspace: Workspace, min_cosine: float = -2.0, probes: int = PROBES, asked: DataFrame | None = None) -> DataFrame:
+def nearest(classes: DataFrame, k: int, workspace: Workspace, min_cosine: float = -2.0, probes: int | None = None, asked: DataFrame | None = None) -> DataFrame:
     """``id, nbr, cosine``: up to ``k`` most similar other vectors of each vector's model, at least ``min_cosine``.
 
     ``classes`` has distinct vectors ``id, model, unit``; ``asked``, if given, the
     ids to look for. Parts are cut into index blocks and query chunks of a fixed
-    size, so a part of any size is spread over tasks.
+    size, so a part of any size is spread over tasks. ``probes`` parts are looked
+    in, or as many as ``MASS`` says.
     """
-    _, routers = _routers(classes)
-    routed = workspace.cut(_routed(classes, routers, probes))
-    queries = routed if asked is None else routed.join(asked, "id", "left_semi")
+    routers = _routers(classes, probes is None)
+    routed = workspace.cut(_routed(classes, routers, probes if asked is None else 1))
+    queries = routed if asked is None else workspace.cut(_routed(classes.join(asked, "id", "left_semi"), routers, probes))
     index = routed.select("id", "model", "unit", F.element_at("probe", 1).alias("part"))
     queries = queries.select("id", "model", "unit", F.explode("probe").alias("part"))
     # one row per model and part: bounded by the classifiers
@@ -188,6 +195,16 @@ def nearest(classes: DataFrame, k: int, workspace: Workspace, min_cosine: float
         for i in range(0, len(outside) if n else 0, 1024):
             s = here[i : i + 1024] @ there.T
             s[outside[i : i + 1024, None] == inside[None, :]] = -3
+            if min_cosine > 0.8:  # few are near: no need to order the rest
+                r, j = np.nonzero(s >= min_cosine)
+                v = s[r, j]
+                by = np.lexsort((inside[j], -v, r))
+                r, j, v = r[by], j[by], v[by]
+                place = np.arange(len(r)) - np.searchsorted(r, r)
+                a.append(outside[i + r[place < k]])
+                b.append(inside[j[place < k]])
+                c.append(v[place < k].astype(np.float64))
+                continue
             top = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < len(inside) else np.tile(np.arange(n), (len(s), 1))
             value = np.take_along_axis(s, top, 1)
             keep = value >= max(min_cosine, -2.0)
@@ -222,7 +239,7 @@ def vector_classes(units: DataFrame, first: int) -> DataFrame:
     return merged.select(F.element_at("ids", 1).alias("id"), "model", "unit", "ids", "copies")
 
 
-def most_similar(units: DataFrame, k: int = 5, min_cosine: float = -2.0, probes: int = PROBES, asked: Column | None = None) -> DataFrame:
+def most_similar(units: DataFrame, k: int = 5, min_cosine: float = -2.0, probes: int | None = None, asked: Column | None = None) -> DataFrame:
     """``id, nbr, rank, cosine_similarity``: for each row its ``k`` most similar rows of its model.
 
     ``units`` comes from ``unit_vectors``. Equal similarities rank by id; a row's

@@ -19,7 +19,7 @@ def _corpus_units(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    near = neighbours.most_similar(_corpus_units(spark, folder), 5, 0.9)
+    near = neighbours.most_similar(_corpus_units(spark, folder), 5, 0.9, neighbours.PROBES)
     return near.select(F.least("id", "nbr").alias("vec_a"), F.greatest("id", "nbr").alias("vec_b")).distinct()
 
 
