@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -142,5 +142,41 @@ def effect_size(v: Column) -> Column:
     return F.when(v < 0.1, "negligible").when(v < 0.3, "small").when(v < 0.5, "medium").otherwise("large")
 
 
-def each(df_col: Callable[[Column], Column], column: Column) -> Column:
-    return F.explode(df_col(column))
+#: Words that end like a verb form but aren't one.
+NOT_ACTIONS = ("something", "nothing", "anything", "everything", "thing", "king", "string")
+_PHRASE = r"(?:is|are|was|were)\s+[a-z]+ing\b|(?:a|an)\s+[a-z0-9'-]+(?:\s+(?!(?:of|then|and|or|in|on|with|to|for|from|by|is|are|that|which|a|an|the)\b)[a-z0-9'-]+)?|[a-z0-9]+(?:['-][a-z0-9]+)*"
+
+
+def clause_terms(text: Column, stopwords: Iterable[str] = (*QUERY_STOPWORDS, "text")) -> Column:
+    """Distinct terms: ``a long appeal`` and ``is starting`` as units, other words alone, stopwords left out."""
+    found = _all(F.lower(text), _PHRASE)
+    stop = F.array(*[F.lit(w) for w in stopwords])
+    actions = F.array(*[F.lit(w) for w in NOT_ACTIONS])
+    last = (lambda t: F.element_at(F.split(t, r"\s+"), -1))
+    # a form of "be" before a word that isn't an action leaves the word alone
+    split = F.transform(found, lambda t: F.when(t.rlike(r"^(is|are|was|were)\s") & F.array_contains(actions, last(t)), last(t)).otherwise(F.regexp_replace(t, r"\s+", " ")))
+    return F.array_distinct(F.filter(split, lambda t: ~F.array_contains(stop, t)))
+
+
+def semantic_root(term: Column) -> Column:
+    """``starts``, ``starting``, ``is starting`` as ``start``; doubled consonants before ``ing`` are taken back to one."""
+    bare = F.regexp_replace(F.lower(term), r"^(is|are|was|were)\s+", "")
+    ing = F.regexp_replace(F.regexp_replace(bare, r"ing$", ""), r"([bdgmnprt])\1$", "$1")
+    return F.when((F.length(bare) > 5) & bare.endswith("ing"), ing).when((F.length(bare) > 3) & bare.endswith("s") & ~bare.endswith("ss"), F.regexp_replace(bare, "s$", "")).otherwise(bare)
+
+
+def shown_p(p: Column) -> Column:
+    """A p-value for people: three digits, or below the smallest shown."""
+    return F.when(p < 0.001, "< 0.001").otherwise(F.format_string("%.3f", p.cast("double")))
+
+
+def shown_odds(o: Column) -> Column:
+    """An odds ratio for people: two digits, ``inf``, or ``undefined`` for null."""
+    return F.when(o.isNull(), "undefined").when(o == float("inf"), "inf").otherwise(F.format_string("%.2f", o.cast("double")))
+
+
+def parsed_items(answer: Column, wanted: int) -> Column:
+    """The strings of a JSON array that has exactly ``wanted`` different ones that aren't blank; null for any other text."""
+    items = F.transform(F.from_json(answer, "array<string>"), lambda x: F.trim(x))
+    good = (F.size(items) == wanted) & (F.size(F.array_distinct(items)) == wanted) & ~F.exists(items, lambda x: x.isNull() | (x == ""))
+    return F.when(F.coalesce(good, F.lit(False)), items)

@@ -332,3 +332,76 @@ def density_clusters(d: np.ndarray, least: int = 10, samples: int | None = None,
         whole = deepest.get(fell[p][0], 0.0)
         outlier[p] = 0.0 if not np.isfinite(lam[p]) or whole == 0 else (whole - lam[p]) / whole
     return pd.DataFrame({"label": canonical(label), "probability": probability, "outlier_score": outlier})
+
+
+def cluster_column(df: DataFrame, names: tuple[str, ...] = ("cluster_id", "cluster", "label")) -> str:
+    """The first of some columns that the table has and that is never null."""
+    for name in (n for n in names if n in df.columns):
+        if df.where(F.col(name).isNull()).isEmpty():
+            return name
+    raise ValueError(f"none of {', '.join(names)} is complete")
+
+
+def by_cluster(df: DataFrame, cluster: str, key: str, text: str, probability: str, examples: int = 6, noise: bool = True) -> DataFrame:
+    """``cluster, size, examples``: the likeliest texts of each cluster, ties by key; cluster -1 only with ``noise``."""
+    rows = df if noise else df.where(F.col(cluster) >= 0)
+    chosen = representatives(rows.withColumn("_far", -F.coalesce(F.col(probability), F.lit(0.0))), cluster, key, "_far", examples)
+    shown = chosen.groupBy(cluster).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", text))), lambda x: x[text]).alias("examples"))
+    return rows.groupBy(cluster).agg(F.count("*").alias("size")).join(shown, cluster)
+
+
+def word_clusters(counts: DataFrame, members: DataFrame) -> DataFrame:
+    """``name, words, grouped``: word clusters named from 1 by falling size of their counts, words by falling count.
+
+    ``counts`` has ``term, n``, ``members`` ``term, cluster``.
+    """
+    rows = members.join(counts, "term")
+    made = rows.groupBy("cluster").agg(F.sum("n").alias("total"), F.count("*").alias("grouped"), F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "term"))), lambda x: x["term"]).alias("words"))
+    place = F.row_number().over(Window.orderBy(F.desc("total"), "cluster"))
+    return made.select(F.concat(F.lit("cluster"), place.cast("string")).alias("name"), "words", "grouped")
+
+
+def forced(df: DataFrame, key: str, topic: str, vector: str, dim: int) -> DataFrame:
+    """``key, topic, forced``: rows of topic -1 put to the topic with the nearest centre, ties by topic.
+
+    The centres are the rows of a class table and are broadcast as one.
+    """
+    core = df.where(F.col(topic) >= 0)
+    centres = centroids(core, topic, vector, dim).agg(F.sort_array(F.collect_list(F.struct(F.col(topic).alias("t"), "centroid"))).alias("_c"))
+    d = (lambda c: F.aggregate(F.zip_with(F.col(vector), c["centroid"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    nearest = F.array_min(F.transform("_c", lambda c: F.struct(d(c).alias("d"), c["t"].alias("t"))))["t"]
+    rows = df.crossJoin(F.broadcast(centres))  # by one row
+    lost = F.col(topic) < 0
+    return rows.select(key, F.when(lost, nearest).otherwise(F.col(topic)).alias(topic), lost.alias("forced"))
+
+
+def distance_summary(df: DataFrame, key: str, vector: str, dim: int, width: float = 0.1, block: int = 2_048) -> DataFrame:
+    """``bin, pairs, mean, stdev``: how many pairs of rows lie in each ``width`` of distance, and mean and population deviation over all pairs.
+
+    Counted in blocks; no pair leaves a task.
+    """
+    rows = df.where(F.coalesce(F.size(vector) == dim, F.lit(False))).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    n = max(1, -(-rows.count() // block))
+    parts = None
+    for i in range(n):
+        held = rows.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i).collect()
+        if not held:
+            continue
+        shared = df.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in held], np.int64), np.array([r["v"] for r in held], np.float64)))
+
+        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            for batch in batches:
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                d = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * q @ x.T, 0))[ids[:, None] < batch.column(0).to_numpy()]
+                bins, at = np.unique(np.floor(np.round(d / width, 9)).astype(np.int64), return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(np.bincount(at, minlength=len(bins))), pa.array(np.bincount(at, weights=d, minlength=len(bins))), pa.array(np.bincount(at, weights=d * d, minlength=len(bins)))], names=["bin", "pairs", "s", "q"])
+
+        part = rows.mapInArrow(count, "bin bigint, pairs bigint, s double, q double")
+        parts = part if parts is None else parts.unionByName(part)
+    if parts is None:
+        return rows.select(F.col("id").alias("bin"), F.lit(0).cast("bigint").alias("pairs"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("stdev")).limit(0)
+    bins = parts.groupBy("bin").agg(*[F.sum(c).alias(c) for c in ("pairs", "s", "q")])
+    whole = Window.partitionBy()
+    total, s, q = (F.sum(c).over(whole) for c in ("pairs", "s", "q"))
+    return bins.select("bin", "pairs", F.round(s / total, 6).alias("mean"), F.round(F.sqrt(q / total - (s / total) * (s / total)), 6).alias("stdev"))

@@ -72,6 +72,11 @@ def symbols(tokens: Column, mode: int) -> Column:
     raise ValueError(f"no feature number {mode}")
 
 
+def as_json(df: DataFrame, key: str, text: str, tokens: str) -> DataFrame:
+    """``key, document``: annotated texts as JSON objects."""
+    return df.select(key, F.to_json(F.struct(F.col(key), F.col(text), F.col(tokens))).alias("document"))
+
+
 def counts(df: DataFrame, key: str, tokens: str, modes: list[int], low: int = 1, high: int = 3) -> DataFrame:
     """``key, feature, n``: n-grams of the symbols of each mode, named ``ngram_mode``; empty symbols are dropped first."""
     def named(mode: int) -> Column:

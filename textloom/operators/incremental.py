@@ -58,6 +58,23 @@ def aligned(rows: DataFrame, answers: DataFrame, value: str) -> DataFrame:
     return both.select("batch", "index", value, problem.alias("problem"))
 
 
+def fingerprint(df: DataFrame, key: str, text: str) -> str:
+    """A digest of all keys and texts: the sum of row digests, which no order of rows changes."""
+    part = F.conv(F.substring(F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.coalesce(F.col(text), F.lit(""))), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    r = df.agg(F.count("*").alias("n"), F.sum(part).alias("s")).first()
+    return f"{r['n']}-{r['s'] or 0:x}" if isinstance(r["s"], int) else f"{r['n']}-{int(r['s'] or 0):x}"
+
+
+def cached(df: DataFrame, path: str, mark: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The table kept under ``path`` for this mark (see ``fingerprint``), computed and written if there is none."""
+    spark = df.sparkSession
+    where = f"{path.rstrip('/')}/{mark}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        compute(df).write.mode("overwrite").parquet(where)
+    return spark.read.parquet(where)
+
+
 def first_of_each(df: DataFrame, group: Column, order: list[str]) -> DataFrame:
     """The first row of each group; rows with a null group are left out.
 

@@ -78,3 +78,8 @@ def continue_numbers(new: DataFrame, existing: DataFrame, group: str, order: Ite
     counts = existing.groupBy(group).agg(F.count("*").alias("_have"))
     rows = new.join(counts, group, "left")
     return rows.withColumn("number", F.coalesce("_have", F.lit(0)) + F.row_number().over(Window.partitionBy(group).orderBy(*order))).drop("_have")
+
+
+def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """The rows in the drawing order."""
+    return df.orderBy(draw(seed, key), key)

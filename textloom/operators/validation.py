@@ -59,3 +59,8 @@ def disagreement(left: DataFrame, right: DataFrame, key: str, column: str) -> Da
     """``key, here, there`` where two tables say different things of one key."""
     a, b = left.select(key, F.col(column).alias("here")), right.select(key, F.col(column).alias("there"))
     return a.join(b, key).where(~F.col("here").eqNullSafe(F.col("there")))
+
+
+def wrong_sizes(df: DataFrame, group: str, wanted: int) -> DataFrame:
+    """``group, n`` of groups that don't have exactly ``wanted`` rows."""
+    return df.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") != wanted)

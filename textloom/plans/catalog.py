@@ -836,3 +836,87 @@ def ml_explained(spark, folder):
 
     long = rows.select(*_INPUTS).mapInPandas(explain, "feature string, x double, shap double")
     return classify.signed_importance(long)
+
+
+# ---- sources, sinks and reports
+
+
+@query("SELECT row_id, query FROM query_record WHERE query IS NOT NULL AND query <> ''")
+def src_nonempty(spark, folder):
+    return _t(spark, folder, "query_record").where("query is not null and query <> ''").select("row_id", "query")
+
+
+@query("SELECT source, count(*) AS kept, count(DISTINCT id) AS ids FROM query_record WHERE contains(id, '_hard') AND id IN (SELECT id FROM embedded_query) AND source IS NOT NULL GROUP BY source")
+def src_hard_with_embedding(spark, folder):
+    rows = _t(spark, folder, "query_record").where(F.col("id").contains("_hard") & F.col("source").isNotNull())
+    kept = rows.join(_t(spark, folder, "embedded_query").select("id"), "id", "left_semi")
+    return kept.groupBy("source").agg(F.count("*").alias("kept"), F.countDistinct("id").alias("ids"))
+
+
+@query(f"SELECT embedding_model, count(*) AS vectors, count(DISTINCT id) AS ids, round(sum(sqrt(list_dot_product({_D}, {_D}))), 3) AS lengths FROM corpus_embedding WHERE {_OK} GROUP BY embedding_model")
+def src_embedding_index(spark, folder):
+    rows = _t(spark, folder, "corpus_embedding").where(A.usable(F.col("embedding"), 64))
+    return rows.groupBy("embedding_model").agg(F.count("*").alias("vectors"), F.countDistinct("id").alias("ids"), F.round(F.sum(A.norm(F.col("embedding"))), 3).alias("lengths"))
+
+
+@query("SELECT toxic, count(*) AS n FROM doc_label WHERE toxic IN (0, 1) GROUP BY toxic")
+def src_labels(spark, folder):
+    return _t(spark, folder, "doc_label").select("toxic").where(F.col("toxic").isin(0, 1)).groupBy("toxic").agg(F.count("*").alias("n"))
+
+
+@query("SELECT embedding_model, list_avg(list(x)) IS NOT NULL AS any_value, count(*) AS finite FROM (SELECT embedding_model, unnest(embedding) AS x FROM corpus_embedding) WHERE NOT isnan(x) AND NOT isinf(x) GROUP BY embedding_model")
+def src_finite_components(spark, folder):
+    rows = _t(spark, folder, "corpus_embedding").select("embedding_model", F.explode("embedding").alias("x")).select("embedding_model", T.finite(F.col("x")).alias("x"))
+    return rows.where("x is not null").groupBy("embedding_model").agg((F.avg("x").isNotNull()).alias("any_value"), F.count("*").alias("finite"))
+
+
+@query("SELECT paragraph_id, count(*) AS n FROM query_record WHERE paragraph_id IS NOT NULL GROUP BY paragraph_id HAVING count(*) <> 3")
+def val_wrong_sizes(spark, folder):
+    return validation.wrong_sizes(_t(spark, folder, "query_record").where("paragraph_id is not null"), "paragraph_id", 3)
+
+
+@query("WITH r AS (SELECT row_id, rank, coalesce(cosine_similarity, 0) AS p FROM ranking_result), t AS (SELECT * FROM r ORDER BY p DESC, row_id LIMIT (SELECT CAST(floor(count(*) * 0.2) AS BIGINT) FROM r)) SELECT row_id FROM t WHERE rank <= 10")
+def inc_representatives(spark, folder):
+    rows = _t(spark, folder, "ranking_result").select("row_id", "rank", F.coalesce("cosine_similarity", F.lit(0.0)).alias("p"))
+    return incremental.chosen_representatives(rows, "row_id", "p", "rank", 0.2, 10).select("row_id")
+
+
+@query("WITH r AS (SELECT row_id, CASE WHEN rank > 60 THEN -1 ELSE rank % 7 END AS a, CASE WHEN row_id % 2 = 0 THEN -1 ELSE 3 END AS b, CASE WHEN row_id % 3 = 0 THEN -1 ELSE 5 END AS c FROM ranking_result) SELECT row_id, CAST(CASE WHEN a >= 0 THEN a WHEN b >= 0 THEN b WHEN c >= 0 THEN c ELSE -1 END AS BIGINT) AS final, CASE WHEN a >= 0 THEN 'original_cluster' WHEN b >= 0 THEN 'hdbscan_probability' WHEN c >= 0 THEN 'embedding_similarity' END AS method FROM r")
+def inc_reduced_outliers(spark, folder):
+    r, i = F.col("rank"), F.col("row_id")
+    rows = _t(spark, folder, "ranking_result").select("row_id", F.when(r > 60, -1).otherwise(r % 7).alias("a"), F.when(i % 2 == 0, -1).otherwise(3).alias("b"), F.when(i % 3 == 0, -1).otherwise(5).alias("c"))
+    return incremental.reduced_outliers(rows, "a", "b", "c").select("row_id", F.col("final").cast("bigint").alias("final"), "method")
+
+
+@query("WITH e AS (SELECT vec_id, CASE WHEN label = 0 THEN -1 ELSE label END AS topic, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), c AS (SELECT topic, list_transform(range(1, 65), lambda i: list_avg(list_transform(list(v), lambda e: e[i]))) AS m FROM e WHERE topic >= 0 GROUP BY topic), d AS (SELECT vec_id, c.topic, list_distance(v, m) AS d FROM e, c WHERE e.topic < 0), n AS (SELECT vec_id, arg_min(topic, d) AS topic FROM d GROUP BY vec_id) SELECT e.vec_id, CAST(coalesce(n.topic, e.topic) AS BIGINT) AS topic, e.topic < 0 AS forced FROM e LEFT JOIN n USING (vec_id)")
+def cluster_forced(spark, folder):
+    rows = _t(spark, folder, "embeddings").select("vec_id", F.when(F.col("label") == 0, -1).otherwise(F.col("label")).cast("bigint").alias("topic"), F.col("embedding").cast("array<double>").alias("v"))
+    return clustering.forced(rows, "vec_id", "topic", "v", 64)
+
+
+@query("WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), d AS (SELECT list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.vec_id < b.vec_id) SELECT CAST(floor(round(d / 0.1, 9)) AS BIGINT) AS bin, count(*) AS pairs, round((SELECT avg(d) FROM d), 6) AS mean, round((SELECT stddev_pop(d) FROM d), 6) AS stdev FROM d GROUP BY 1")
+def cluster_distance_summary(spark, folder):
+    return clustering.distance_summary(_t(spark, folder, "embeddings"), "vec_id", "embedding", 64)
+
+
+@query()
+def cluster_by_id(spark, folder):
+    rows = _t(spark, folder, "ranking_result").where("rank is not null").select("row_id", (F.col("rank") % 10).alias("cluster"), "query", F.col("cosine_similarity").alias("p"))
+    return clustering.by_cluster(rows, "cluster", "row_id", "query", "p")
+
+
+@query()
+def cluster_words(spark, folder):
+    rows = _t(spark, folder, "query_record").select(T.clause_terms(F.col("query")).alias("t"))
+    counts = stats.top(stats.record_frequency(rows, "t"), 200).drop("place")
+    return clustering.word_clusters(counts, counts.select("term", T.semantic_root(F.col("term")).alias("cluster")))
+
+
+@query("SELECT lexicon, CASE WHEN odds_ratio IS NULL THEN 'undefined' WHEN isinf(odds_ratio) THEN 'inf' ELSE printf('%.2f', odds_ratio) END AS shown FROM (" + SQL["agg_lexicon_odds"] + ")")
+def agg_shown_odds(spark, folder):
+    return agg_lexicon_odds(spark, folder).select("lexicon", T.shown_odds(F.col("odds_ratio")).alias("shown"))
+
+
+@query()
+def feat_json(spark, folder):
+    return features.as_json(_annotated(spark, folder), "row_id", "query", "tokens")
