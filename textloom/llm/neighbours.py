@@ -278,23 +278,28 @@ def exact_similar(units: DataFrame, k: int, asked: Column, block: int = 8_192) -
         held = chosen.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)) == i).collect()
         if not held:
             continue
-        shared = spark.sparkContext.broadcast((np.array([r["id"] for r in held]), np.array([r["model"] for r in held], object), np.frombuffer(b"".join(bytes(r["unit"]) for r in held), np.float32).reshape(-1, DIM)))
+        code = {m: c for c, m in enumerate(sorted({r["model"] for r in held}))}
+        shared = spark.sparkContext.broadcast((code, np.array([r["id"] for r in held]), np.array([code[r["model"]] for r in held]), np.frombuffer(b"".join(bytes(r["unit"]) for r in held), np.float32).reshape(-1, DIM)))
 
         def scored(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, models, x = shared.value
+            code, ids, models, x = shared.value
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                there, names, y = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object), matrix(batch.column(2))
-                out = []
-                for j in range(0, len(ids), 1024):
-                    s = x[j : j + 1024] @ y.T
-                    s[(ids[j : j + 1024, None] == there) | (models[j : j + 1024, None] != names)] = -3
-                    n = min(k, len(y))
-                    top = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                    value = np.take_along_axis(s, top, 1)
-                    keep = value > -2
-                    out.append((np.repeat(ids[j : j + 1024], keep.sum(1)), there[top[keep]], value[keep].astype(np.float64)))
+                there, names, y = batch.column(0).to_numpy(), batch.column(1).to_pylist(), matrix(batch.column(2))
+                out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+                names = np.array([code.get(m, -1) for m in names])
+                for model in np.unique(names[names >= 0]).tolist():
+                    inside, asks = np.flatnonzero(names == model), np.flatnonzero(models == model)
+                    for j in range(0, len(asks), 1024):
+                        own = asks[j : j + 1024]
+                        s = x[own] @ y[inside].T
+                        s[ids[own, None] == there[inside]] = -3
+                        n = min(k, len(inside))
+                        top = np.argpartition(-s, n - 1, axis=1)[:, :n]
+                        value = np.take_along_axis(s, top, 1)
+                        keep = value > -2
+                        out.append((np.repeat(ids[own], keep.sum(1)), there[inside[top[keep]]], value[keep].astype(np.float64)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["id", "nbr", "cosine_similarity"])
 
         parts.append(workspace.cut(units.mapInArrow(scored, "id bigint, nbr bigint, cosine_similarity double")))
