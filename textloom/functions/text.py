@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +22,11 @@ def _all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` worked out once, however often ``f`` names it, within its lambdas too."""
+    return F.element_at(F.transform(F.array(x), lambda v: f(v)), 1)
+
+
 def ascii_tokens(text: Column) -> Column:
     """Lower-case ASCII words with inner apostrophes and hyphens; none for null."""
     return _all(F.lower(text), ASCII_TOKEN)
@@ -59,7 +64,7 @@ def crude_stem(word: Column) -> Column:
 def topic_words(text: Column, stopwords: Iterable[str] = (*TOPIC_STOPWORDS, *FORM_WORDS)) -> Column:
     """Distinct stemmed words of more than two letters that aren't stopwords."""
     stop = F.array(*[F.lit(w) for w in stopwords])
-    kept = F.filter(_all(F.lower(text), TOPIC_TOKEN), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+    kept = F.filter(F.array_except(_all(F.lower(text), TOPIC_TOKEN), stop), lambda w: F.length(w) > 2)
     return F.array_distinct(F.transform(kept, crude_stem))
 
 
@@ -71,19 +76,22 @@ def content_words(tokens: Column, stopwords: Iterable[str] = QUERY_STOPWORDS) ->
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Runs of ``n`` tokens joined by blanks, repeats included; none where there are fewer."""
-    each = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, each).otherwise(F.array().cast("array<string>"))
+
+    def runs(t: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, each).otherwise(F.array().cast("array<string>"))
+
+    return bound(tokens, runs)
 
 
 def ngrams_between(tokens: Column, low: int, high: int) -> Column:
     """Runs of ``low`` to ``high`` tokens, empty tokens being dropped first."""
-    kept = F.filter(tokens, lambda x: x != "")
-    return F.flatten(F.array(*[ngrams(kept, n) for n in range(low, high + 1)]))
+    return bound(F.filter(tokens, lambda x: x != ""), lambda kept: F.flatten(F.array(*[ngrams(kept, n) for n in range(low, high + 1)])))
 
 
 def opening(tokens: Column, k: int) -> Column:
     """The first ``k`` tokens as one string; null where there are fewer."""
-    return F.when(F.size(tokens) >= k, F.array_join(F.slice(tokens, 1, k), " "))
+    return bound(tokens, lambda t: F.when(F.size(t) >= k, F.array_join(F.slice(t, 1, k), " ")))
 
 
 def first_token(tokens: Column) -> Column:

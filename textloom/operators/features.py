@@ -48,9 +48,13 @@ def symbols(tokens: Column, mode: int) -> Column:
         return F.transform(kept, lambda t: named(t, "lower" if mode % 2 == 0 else "lemma", mode >= 12))
     if mode in (20, 21, 22, 23):
         field, entity = ("lower" if mode % 2 == 0 else "lemma"), mode >= 22
-        children = F.filter(tokens, lambda t: (t["head"] != t["i"]) & ~t["like_num"])
-        ordered = F.array_sort(F.transform(children, lambda t: F.struct(t["head"].alias("h"), t["i"].alias("i"), named(t, field, entity).alias("w"))))
-        return F.transform(ordered, lambda t: F.concat(named(F.element_at(tokens, t["h"] + 1), field, entity), F.lit("_"), t["w"]))
+
+        def pairs(tok: Column) -> Column:
+            children = F.filter(tok, lambda t: (t["head"] != t["i"]) & ~t["like_num"])
+            ordered = F.array_sort(F.transform(children, lambda t: F.struct(t["head"].alias("h"), t["i"].alias("i"), named(t, field, entity).alias("w"))))
+            return F.transform(ordered, lambda t: F.concat(named(F.element_at(tok, t["h"] + 1), field, entity), F.lit("_"), t["w"]))
+
+        return T.bound(tokens, pairs)
     if mode == 30:
         return F.transform(tokens, lambda t: t["pos"])
     if mode == 31:
@@ -79,10 +83,13 @@ def as_json(df: DataFrame, key: str, text: str, tokens: str) -> DataFrame:
 
 def counts(df: DataFrame, key: str, tokens: str, modes: list[int], low: int = 1, high: int = 3) -> DataFrame:
     """``key, feature, n``: n-grams of the symbols of each mode, named ``ngram_mode``; empty symbols are dropped first."""
-    def named(mode: int) -> Column:
-        return F.transform(T.ngrams_between(symbols(F.col(tokens), mode), low, high), lambda g: F.concat(g, F.lit(f"_{mode}")))
+    def named(mode: int, tok: Column) -> Column:
+        return F.transform(T.ngrams_between(symbols(tok, mode), low, high), lambda g: F.concat(g, F.lit(f"_{mode}")))
+
+    def named_all(tok: Column) -> Column:
+        return F.flatten(F.array(*[named(m, tok) for m in modes]))
 
-    each = F.flatten(F.array(*[named(m) for m in modes]))
+    each = T.bound(F.col(tokens), named_all)
     return df.select(key, F.explode(each).alias("feature")).groupBy(key, "feature").agg(F.count("*").alias("n"))
 
 
