@@ -909,7 +909,7 @@ def cluster_by_id(spark, folder):
 @query()
 def cluster_words(spark, folder):
     rows = _t(spark, folder, "query_record").select(T.clause_terms(F.col("query")).alias("t"))
-    counts = stats.top(stats.record_frequency(rows, "t"), 200).drop("place")
+    counts = Workspace(spark, "words").cut(stats.record_frequency(rows, "t"))
     return clustering.word_clusters(counts, counts.select("term", T.semantic_root(F.col("term")).alias("cluster")))
 
 
