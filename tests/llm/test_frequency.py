@@ -5,7 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from textloom.llm import frequency
+from textloom.llm import frequency, queries
 from textloom.llm.suffixes import common_prefixes, search, suffix_array
 from textloom.llm.words import words
 
@@ -32,6 +32,37 @@ def test_counts(spark):
     assert run(spark, []) == {}
 
 
+def spelt_out(rows):
+    out = Counter()
+    for r in rows:
+        w = r["term"].split(" ")
+        assert len(w) == r["longest"]
+        for n in range(r["shortest"], r["longest"] + 1):
+            out[(" ".join(w[:n]), n)] += 1
+    return out
+
+
+def test_classes_hold_every_ngram_once(spark):
+    random.seed(2)
+    texts = [" ".join(random.choice("a b c É1 ß".split()) for _ in range(random.randint(0, 9))) for _ in range(150)] + [None, "", "..", "x " * 40, "a b c ß a b", "a b c ß a b"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    rows = frequency.ngram_classes(df, "text", group=200).collect()
+    want = brute(texts, 50)
+    assert spelt_out(rows) == Counter(dict.fromkeys(want, 1))
+    got = {(" ".join(r["term"].split(" ")[:n]), n): (r["occurrences"], r["records"]) for r in rows for n in range(r["shortest"], r["longest"] + 1)}
+    assert got == want
+    assert frequency.ngram_classes(df.limit(0), "text").count() == 0
+
+
+def test_rare_and_long_ngrams_come_out_of_the_query(spark, tmp_path):
+    rows = ["one two three four"] * 2 + ["one two"] * 30 + [None] * 4
+    spark.createDataFrame([(t,) for t in rows], "query string").write.parquet(f"{tmp_path}/query_record.parquet")
+    got = {(r["term"], r["shortest"], r["longest"]): (r["records"], r["mark"]) for r in queries.queries()["p6_all"](spark, str(tmp_path)).collect()}
+    assert got[("one two", 2, 2)] == (32, "common")
+    assert got[("two three", 2, 2)] == (2, "rare")
+    assert got[("one two three four", 3, 4)] == (2, "rare")
+
+
 def test_marks(spark):
     rows = [("common",)] * 12 + [("common rare",)] * 2 + [(None,)] * 6 + [("middle",)] * 3
     df = spark.createDataFrame(rows, "text string")

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.suffixes import common_prefixes, suffix_array
 from textloom.llm.words import words
 
+#: Words that suffixes have in common where they are brought together; shorter n-grams are counted by ``term_counts``.
+HEAD = 3
+#: Characters of text, about, whose suffixes are one group.
+GROUP = 1_200_000
+
 
 def intervals(texts: list[str | None], max_n: int) -> tuple[list[str], list[int], list[int], list[int]]:
     """``term, n, occurrences, records`` of all n-grams of up to ``max_n`` words in a few records.
@@ -89,3 +97,99 @@ def marked_terms(df: DataFrame, text: str, max_n: int = 1, rare: int = 2, common
     total = df.count()
     counts = term_counts(df, text, max_n)
     return counts.withColumn("mark", F.when(F.col("records") > common * total, "common").when(F.col("records") <= rare, "rare"))
+
+
+def suffix_classes(suffixes: list[str], records: list[int], head: int = HEAD) -> Iterator[tuple[str, int, int, int, int]]:
+    """``term, shortest, longest, occurrences, records`` from sorted suffixes: n-grams of ``head`` words or more.
+
+    An interval of suffixes sharing ``longest`` words stands for its prefixes down
+    to one word more than the interval around it shares; a suffix by itself for
+    what it shares with none. A suffix whose record was seen before is subtracted
+    at the innermost open interval that holds both, and so at those around it.
+    """
+    stack, starts = [[0, 0, 0]], [0]  # words shared, first place, neighbours of one record
+    seen: dict[int, int] = {}
+    before: list[str] = []
+    last = 0
+    for i in range(len(suffixes) + 1):
+        own = suffixes[i].split(" ") if i < len(suffixes) else []
+        shared = 0
+        for a, b in zip(before, own, strict=False):
+            if a != b:
+                break
+            shared += 1
+        least = max(last, shared, head - 1)
+        if len(before) > least:
+            yield " ".join(before), least + 1, len(before), 1, 1
+        start, again = max(i - 1, 0), 0
+        while stack[-1][0] > shared:
+            longest, start, inner = stack.pop()
+            starts.pop()
+            again += inner
+            least = max(stack[-1][0], shared, head - 1)
+            if longest > least:
+                yield " ".join(before[:longest]), least + 1, longest, i - start, i - start - again
+        if stack[-1][0] < shared:
+            stack.append([shared, start, again])
+            starts.append(start)
+        else:
+            stack[-1][2] += again
+        if i < len(suffixes):
+            j = seen.get(records[i])
+            if j is not None:
+                stack[bisect_right(starts, j) - 1][2] += 1
+            seen[records[i]] = i
+        before, last = own, shared
+
+
+def ngram_classes(df: DataFrame, text: str, head: int = HEAD, group: int = GROUP) -> DataFrame:
+    """``term, shortest, longest, occurrences, records``: all n-grams of any length, those with the same places as one row.
+
+    A row stands for the first ``shortest`` to ``longest`` words of ``term``: every
+    n-gram of the table is in exactly one row. Below ``head`` words each has its
+    own. Longer ones come from suffixes brought together by their first ``head``
+    words, so what is shuffled grows with the square of a record's words, and a
+    group has to hold all suffixes of its most frequent head.
+    """
+    rows = df.select(F.monotonically_increasing_id().alias("record"), F.col(text).cast("string").alias("text")).where("text is not null")
+    groups = max(1, -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // group))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, record, suffix = [], [], []
+            for r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = words(t)
+                whole, at = " ".join(found), 0
+                for i in range(len(found) - head + 1):
+                    part.append(crc32(" ".join(found[i : i + head]).encode()) % groups)
+                    record.append(r)
+                    suffix.append(whole[at:])
+                    at += len(found[i]) + 1
+                    if len(suffix) == 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(record, pa.int64()), pa.array(suffix, pa.string())], names=["part", "record", "suffix"])
+                        part, record, suffix = [], [], []
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(record, pa.int64()), pa.array(suffix, pa.string())], names=["part", "record", "suffix"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        table = table.take(pc.sort_indices(table, sort_keys=[("suffix", "ascending"), ("record", "ascending")]))
+        out: list[tuple[str, int, int, int, int]] = []
+        names, kinds = ["term", "shortest", "longest", "occurrences", "records"], [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        for row in suffix_classes(table.column("suffix").to_pylist(), table.column("record").to_pylist(), head):
+            out.append(row)
+            if len(out) == 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    schema = "term string, shortest int, longest int, occurrences bigint, records bigint"
+    long = rows.mapInArrow(cut, "part int, record bigint, suffix string").groupBy("part").applyInArrow(counted, schema)
+    short = term_counts(df, text, head - 1).select("term", F.col("n").alias("shortest"), F.col("n").alias("longest"), "occurrences", "records")
+    return short.unionByName(long)
+
+
+def marked_classes(df: DataFrame, text: str, rare: int = 2, common: float = 0.1) -> DataFrame:
+    """``ngram_classes`` with the ``mark`` of ``marked_terms``, which holds for every n-gram of a row."""
+    total = df.count()
+    return ngram_classes(df, text).withColumn("mark", F.when(F.col("records") > common * total, "common").when(F.col("records") <= rare, "rare"))

@@ -101,6 +101,11 @@ def p6_ngrams(spark: SparkSession, folder: str) -> DataFrame:
     return counts.where("mark is null or mark = 'common'").select("term", F.col("n").cast("int").alias("n"), "occurrences", "records", "mark")
 
 
+def p6_all(spark: SparkSession, folder: str) -> DataFrame:
+    """N-grams of every length with their mark, rare ones too; a row stands for the first ``shortest`` to ``longest`` words of ``term``."""
+    return frequency.marked_classes(_read(spark, folder, "query_record"), "query")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_corpus(_read(spark, folder, "documents"), "doc_id", "text")
 
