@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import neighbours, vectors
+from textloom.llm import neighbours, queries, vectors
 
 
 def table(spark, x, ids=None, models=None, extra=()):
@@ -90,3 +90,11 @@ def test_parts_are_balanced():
     assert sizes.sum() == 400 and sizes.max() <= np.ceil(400 / 7 * 1.1)
     with pytest.raises(ValueError):
         neighbours.neighbour_graph(x[:2], 5)
+
+
+def test_recall_of_the_index_for_near_pairs(spark, tmp_path):
+    x = np.repeat(np.random.RandomState(7).randn(30, 64), 2, axis=0)
+    x[1::2] += 0.1 * np.random.RandomState(8).randn(30, 64)
+    table(spark, x).write.parquet(f"{tmp_path}/corpus_embedding.parquet")
+    (r,) = queries.queries()["p1_recall_found"](spark, str(tmp_path)).collect()
+    assert (r["queries"], r["wanted"], r["recall"]) == (3, 3, 1.0)

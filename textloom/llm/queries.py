@@ -39,6 +39,18 @@ def p1_recall(spark: SparkSession, folder: str) -> DataFrame:
     return both.agg(F.count("*").alias("queries"), (F.sum(F.least(F.coalesce("got", F.lit(0)), "wanted")) / F.sum("wanted")).alias("recall"))
 
 
+def p1_recall_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Recall of ``p1_found``'s own index, its probes and its smaller sample, against brute force: neighbours at 0.9 of the rows whose id is divisible by 20."""
+    units = _corpus_units(spark, folder)
+    asked = F.col("id") % 20 == 0
+    near = neighbours.most_similar(units, 5, 0.9, neighbours.PROBES, asked)
+    exact = neighbours.exact_similar(units, 5, asked).where("cosine_similarity >= 0.9")
+    worst = exact.groupBy("id").agg(F.min("cosine_similarity").alias("worst"), F.count("*").alias("wanted"))
+    got = near.join(worst, "id").where(F.col("cosine_similarity") >= F.col("worst") - 1e-6).groupBy("id").agg(F.count("*").alias("got"))
+    both = worst.join(got, "id", "left")
+    return both.agg(F.count("*").alias("queries"), F.coalesce(F.sum("wanted"), F.lit(0)).alias("wanted"), (F.sum(F.least(F.coalesce("got", F.lit(0)), "wanted")) / F.sum("wanted")).alias("recall"))
+
+
 def _clusters(spark: SparkSession, folder: str) -> DataFrame:
     return clusters.clusters(vectors.unit_vectors(_read(spark, folder, "embedded_query"), "row_id", "embedding").select("id", "unit"))
 
