@@ -68,3 +68,16 @@ def test_groups_stay_whole_and_shares_hold(spark):
     of_a = [r for r in out if label[r["row_id"]] == "a"]
     assert abs(sum(r["split"] == "train" for r in of_a) / len(of_a) - 0.8) < 0.05
     assert splits.assign_splits(df.limit(0), "row_id", F.col("label"), {"train": 1.0}).count() == 0
+
+
+def test_labels_of_one_hash_class_are_balanced_by_themselves(spark):
+    classes = {}
+    for r in spark.range(80).select(F.concat(F.lit("l"), "id").alias("v")).withColumn("c", F.pmod(F.xxhash64("v", F.lit(0)), F.lit(32))).collect():
+        classes.setdefault(r["c"], []).append(r["v"])
+    a, b = next(v for v in classes.values() if len(v) > 1)[:2]
+    rows = [(i, i // 50, a if i // 50 % 2 else b) for i in range(1000)]
+    df = spark.createDataFrame(rows, "row_id bigint, group_id bigint, label string")
+    out = splits.assign_splits(df, "row_id", F.col("label"), {"train": 0.5, "test": 0.5}).collect()
+    label = {i: v for i, _, v in rows}
+    for v in (a, b):
+        assert sum(r["split"] == "train" for r in out if label[r["row_id"]] == v) == 250

@@ -8,7 +8,7 @@ dealt to the splits so that each keeps the given share of every stratum.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.plans.materialize import Workspace
@@ -84,8 +84,9 @@ def tied_groups(df: DataFrame, key: str, entities: list[str]) -> DataFrame:
 def assign_splits(groups: DataFrame, key: str, stratum: Column, shares: dict[str, float], strata: int = 32, large: float = 0.001, seed: int = 0) -> DataFrame:
     """``key, group_id, split``: every group whole in one split, the strata spread as evenly as groups allow.
 
-    ``groups`` has ``key``, ``group_id`` and the columns of ``stratum``; strata
-    are hashed into ``strata`` classes, so their table is bounded. The groups
+    ``groups`` has ``key``, ``group_id`` and the columns of ``stratum``. The
+    ``strata`` most frequent labels are a class each, the others are hashed into
+    as many classes and null is one, so their table is bounded. The groups
     with more than the share ``large`` of all rows (at most ``1 / large`` of
     them) are placed one by one, largest first, where they raise the summed
     squared deviation from the wanted counts the least. The many small groups
@@ -95,7 +96,12 @@ def assign_splits(groups: DataFrame, key: str, stratum: Column, shares: dict[str
     workspace = Workspace(groups.sparkSession, "assign")
     total = sum(shares.values())
     names = list(shares)
-    counted = workspace.cut(groups.select("group_id", F.coalesce(F.pmod(F.xxhash64(stratum, F.lit(seed)), F.lit(strata)).cast("int"), F.lit(0)).alias("c")).groupBy("group_id", "c").agg(F.count("*").alias("n")))
+    labelled = groups.select("group_id", stratum.alias("label"))
+    frequent = labelled.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(strata)
+    frequent = workspace.cut(frequent.select("label", (F.row_number().over(Window.orderBy(F.desc("n"), "label")) - 1).alias("place")))
+    hashed = F.pmod(F.xxhash64("label", F.lit(seed)), F.lit(strata)).cast("int") + F.lit(strata)
+    c = F.when(F.col("label").isNull(), F.lit(2 * strata)).otherwise(F.coalesce("place", hashed)).alias("c")
+    counted = workspace.cut(labelled.join(F.broadcast(frequent), "label", "left").select("group_id", c).groupBy("group_id", "c").agg(F.count("*").alias("n")))
     per_class = {r["c"]: r["n"] for r in counted.groupBy("c").agg(F.sum("n").alias("n")).collect()}
     rows = sum(per_class.values())
     sizes = counted.groupBy("group_id").agg(F.sum("n").alias("size"), F.max_by("c", F.struct("n", -F.col("c"))).alias("main"))
