@@ -98,3 +98,26 @@ def test_recall_of_the_index_for_near_pairs(spark, tmp_path):
     table(spark, x).write.parquet(f"{tmp_path}/corpus_embedding.parquet")
     (r,) = queries.queries()["p1_recall_found"](spark, str(tmp_path)).collect()
     assert (r["queries"], r["wanted"], r["recall"]) == (3, 3, 1.0)
+
+
+def test_large_parts_are_cut_again(spark, monkeypatch):
+    for name, value in (("PART", 60), ("FAN", 4), ("SPLIT", 2)):
+        monkeypatch.setattr(neighbours, name, value)
+    random = np.random.RandomState(9)
+    centres = random.randn(30, 64)
+    x = centres[random.randint(0, 30, 1500)] + random.randn(1500, 64) * 0.6
+    got, want = found(spark, table(spark, x), k=5), brute(x, list(range(1, 1501)), 5)
+    worst = {i: want[i, 5][1] for i in range(1, 1501)}
+    assert sum(c >= worst[i] - 2e-5 for (i, _), (_, c) in got.items()) / len(want) >= 0.9
+    asked = found(spark, table(spark, x), k=5, asked=F.col("id") % 20 == 0)
+    assert len(asked) == 75 * 5 and sum(c >= worst[i] - 2e-5 for (i, _), (_, c) in asked.items()) / 375 >= 0.9
+
+
+def test_bounds_leave_the_exact_search_exact(spark):
+    x = np.random.RandomState(10).randn(80, 64)
+    units = vectors.unit_vectors(table(spark, x), "vec_id", "embedding", F.col("embedding_model"))
+    asked = F.col("id") % 2 == 0
+    near = neighbours.most_similar(units, 3, asked=asked)
+    bounds = near.where("id % 4 = 0").groupBy("id").agg(F.min("cosine_similarity").alias("least"))
+    rows = [{tuple(r) for r in neighbours.exact_similar(units, 3, asked, bounds=b).select("id", "rank", "nbr").collect()} for b in (None, bounds)]
+    assert rows[0] == rows[1] and len(rows[0]) == 120

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import abuse, bpe, clusters, copies, frequency, leaks, neardup, neighbours, splits, vectors
+from textloom.plans.materialize import Workspace
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -19,7 +20,7 @@ def _corpus_units(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    near = neighbours.most_similar(_corpus_units(spark, folder), 5, 0.9, neighbours.PROBES)
+    near = neighbours.most_similar(_corpus_units(spark, folder), 5, 0.9)
     return near.select(F.least("id", "nbr").alias("vec_a"), F.greatest("id", "nbr").alias("vec_b")).distinct()
 
 
@@ -28,27 +29,27 @@ def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.col("id").alias("vec_id"), F.col("nbr").alias("neighbour_id"), "rank", "cosine_similarity")
 
 
-def p1_recall(spark: SparkSession, folder: str) -> DataFrame:
-    """Recall of the index against brute force, over the rows whose id is divisible by 20."""
-    units = _corpus_units(spark, folder)
-    asked = F.col("id") % 20 == 0
-    near, exact = neighbours.most_similar(units, 5, asked=asked), neighbours.exact_similar(units, 5, asked)
+def _recall(near: DataFrame, units: DataFrame, asked: Column, least: float = -2.0) -> DataFrame:
+    """``queries, wanted, recall`` of found neighbours against brute force, over the rows ``asked`` for."""
+    near = Workspace(units.sparkSession, "recall").cut(near)
+    bounds = near.groupBy("id").agg(F.min("cosine_similarity").alias("least"), F.count("*").alias("n")).where("n >= 5")
+    exact = neighbours.exact_similar(units, 5, asked, bounds=bounds).where(F.col("cosine_similarity") >= least)
     worst = exact.groupBy("id").agg(F.min("cosine_similarity").alias("worst"), F.count("*").alias("wanted"))
     got = near.join(worst, "id").where(F.col("cosine_similarity") >= F.col("worst") - 1e-6).groupBy("id").agg(F.count("*").alias("got"))
     both = worst.join(got, "id", "left")
-    return both.agg(F.count("*").alias("queries"), (F.sum(F.least(F.coalesce("got", F.lit(0)), "wanted")) / F.sum("wanted")).alias("recall"))
+    return both.agg(F.count("*").alias("queries"), F.coalesce(F.sum("wanted"), F.lit(0)).alias("wanted"), (F.sum(F.least(F.coalesce("got", F.lit(0)), "wanted")) / F.sum("wanted")).alias("recall"))
+
+
+def p1_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Recall of the index against brute force, over the rows whose id is divisible by 20."""
+    units, asked = _corpus_units(spark, folder), F.col("id") % 20 == 0
+    return _recall(neighbours.most_similar(units, 5, asked=asked), units, asked)
 
 
 def p1_recall_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Recall of ``p1_found``'s own index, its probes and its smaller sample, against brute force: neighbours at 0.9 of the rows whose id is divisible by 20."""
-    units = _corpus_units(spark, folder)
-    asked = F.col("id") % 20 == 0
-    near = neighbours.most_similar(units, 5, 0.9, neighbours.PROBES, asked)
-    exact = neighbours.exact_similar(units, 5, asked).where("cosine_similarity >= 0.9")
-    worst = exact.groupBy("id").agg(F.min("cosine_similarity").alias("worst"), F.count("*").alias("wanted"))
-    got = near.join(worst, "id").where(F.col("cosine_similarity") >= F.col("worst") - 1e-6).groupBy("id").agg(F.count("*").alias("got"))
-    both = worst.join(got, "id", "left")
-    return both.agg(F.count("*").alias("queries"), F.coalesce(F.sum("wanted"), F.lit(0)).alias("wanted"), (F.sum(F.least(F.coalesce("got", F.lit(0)), "wanted")) / F.sum("wanted")).alias("recall"))
+    """Recall of ``p1_found``'s search against brute force: neighbours at 0.9 of the rows whose id is divisible by 20."""
+    units, asked = _corpus_units(spark, folder), F.col("id") % 20 == 0
+    return _recall(neighbours.most_similar(units, 5, 0.9).where(asked), units, asked, 0.9)
 
 
 def _clusters(spark: SparkSession, folder: str) -> DataFrame:
