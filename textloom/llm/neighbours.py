@@ -309,7 +309,9 @@ def most_similar(units: DataFrame, k: int = 5, min_cosine: float = -2.0, asked:
     workspace = Workspace(units.sparkSession, "neighbours")
     classes = workspace.cut(vector_classes(units, k + 1))
     rows = units if asked is None else units.where(asked)
-    rows = rows.join(classes.select("model", "unit", F.col("id").alias("rep"), "ids", "copies"), ["model", "unit"]).select("id", "rep", "ids", "copies")
+    digest = F.unhex(F.md5("unit")).alias("digest")
+    own = classes.select("model", digest, F.col("id").alias("rep"), "ids", "copies")
+    rows = rows.select("id", "model", digest).join(own, ["model", "digest"]).select("id", "rep", "ids", "copies")
     if asked is not None:
         rows = workspace.cut(rows)
     near = nearest(classes, k, workspace, min_cosine, None if asked is None else rows.select(F.col("rep").alias("id")).distinct())
