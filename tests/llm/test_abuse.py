@@ -73,3 +73,21 @@ def test_tables(spark):
     assert sum(out[i]["toxic"] == bool(y) for i, y in truth.items()) >= 116
     assert abuse.scored(docs.limit(0), "doc_id", "text", model).count() == 0
     assert abuse.labelled_texts(docs, "doc_id", "text", labels.limit(0), "toxic") == []
+
+
+def test_misspelt_abuse_needs_the_automata(monkeypatch):
+    model = abuse.learn([(t, y) for t, y, _ in sample(400)])
+    plants = ["I hope you chokke on your oak, you morron.", "I hope you ch0ke on your elm, you mor*n.", "ash are vermen and should be drivven out.", "free p0rn from fir, hardcorre.", "oak are v3rmin and should be driven oout."]
+    read = lambda: [model.score(model.reader(), t)[0] >= model.threshold for t in plants]
+    with_automata = sum(read())
+    monkeypatch.setattr(abuse.Automaton, "search", lambda self, trie: None)
+    assert with_automata >= 4 and sum(read()) <= with_automata - 2
+
+
+def test_runs_of_letters_are_cut_into_words():
+    reader = abuse.Reader(abuse.CLASSES, {"you", "are", "such"})
+    read = lambda t: [w for x in abuse.windows(t) for w in reader.read(x)]
+    assert {"disgusting", "parasite"} <= set(read("a d i s g u s t i n g p a r a s i t e"))
+    assert "moron" in read("g m o r o n f")
+    assert {"you", "moron"} <= set(read("suchyouaremoron"))
+    assert read("incomprehensibilities") == ["?"]

@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -62,3 +63,22 @@ def test_table(spark, reference):
     got = sorted((r["doc_id"], list(r["ids"])) for r in bpe.encode_corpus(df, "doc_id", "text").collect())
     assert got == sorted((i, reference(t) if t else []) for i, t in rows)
     assert bpe.encode_corpus(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_vocabulary_where_a_merge_makes_a_lower_rank():
+    random.seed(5)
+    for _ in range(300):
+        ranks = {bytes([b]): 1000 + b for b in range(256)}
+        tokens = {bytes(random.choice(b"abc") for _ in range(random.randint(2, 4))) for _ in range(12)}
+        ranks |= {t: r for t, r in zip(tokens, random.sample(range(500), len(tokens)), strict=True)}
+        encoder = bpe.Encoder(ranks)
+        for _ in range(10):
+            data = bytes(random.choice(b"abc") for _ in range(random.randint(1, 14)))
+            parts = [data[i : i + 1] for i in range(len(data))]
+            while True:
+                pairs = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+                if not pairs:
+                    break
+                _, i = min(pairs)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            assert encoder.piece(data) == [ranks[p] for p in parts]

@@ -49,8 +49,31 @@ def test_hot_set_is_counted_whole(spark):
 
 
 def test_equal_digests_are_confirmed_by_the_whole_form(spark):
-    rows = [("t", 1, 7, 7, "a"), ("t", 2, 7, 7, "b"), ("t", 3, 7, 7, "a"), ("t", 4, 8, 8, "c"), ("t", 5, 8, 8, "c")]
-    assert found(spark.createDataFrame(rows, "tbl string, id bigint, h1 bigint, h2 bigint, canon string")) == {(1, 3), (4, 5)}
+    rows = [("t", 1, 7, 7, b"a"), ("t", 2, 7, 7, b"b"), ("t", 3, 7, 7, b"a"), ("t", 4, 8, 8, b"c"), ("t", 5, 8, 8, b"c")]
+    assert found(spark.createDataFrame(rows, "tbl string, id bigint, h1 bigint, h2 bigint, sha binary")) == {(1, 3), (4, 5)}
+
+
+def test_records_of_any_depth(spark):
+    for depth in (500, 5_000, 60_000):
+        deep = lambda a, b: '{"k": [' * depth + f'{{"x": 1, "{a}": "{b}"}}' + "]}" * depth
+        rows = [(1, deep("y", "Some text")), (2, deep("Y", "some-text").replace(" ", "")), (3, deep("y", "other")), (4, deep("y", "Some text")[:-1])]
+        assert found(lines(spark, rows)) == {(1, 2)}
+
+
+def test_the_stack_parser_agrees_with_the_library():
+    def plain(v):
+        return [(k, plain(x)) for k, x in v.pairs] if isinstance(v, copies._Object) else [plain(x) for x in v] if isinstance(v, list) else v
+
+    for text in ('{}', '[]', ' {"a" : [1, -2.5e+3, "x\\n", {"b": {}}, [], null, true] , "c": false} ', '0', '"s"', '[[1], [2, [3]]]', '', '{', '{"a"}', '{"a":}', '[1,]', '{"a":1,}', '[1 2]', '01', '{"a":1}}', 'nul', '[NaN]', '"\x01"', '{1: 2}'):
+        try:
+            want = json.loads(text, object_pairs_hook=copies._Object, parse_int=str, parse_float=str, parse_constant=copies._refuse)
+        except ValueError:
+            want = ValueError
+        try:
+            got = copies.parse_deep(text)
+        except ValueError:
+            got = ValueError
+        assert (got is want) if want is ValueError else plain(got) == plain(want), text
 
 
 def test_digest_ignores_order_of_fields_only():

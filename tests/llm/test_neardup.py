@@ -93,3 +93,35 @@ def test_popcount_distance_is_a_lower_bound():
         a, b = ({f"w{r.randint(0, 60)}" for _ in range(20)} for _ in range(2))
         count = lambda s: np.bincount((neardup._hashes(s, {}) >> np.uint64(40)).astype(np.int64) % neardup.COARSE, minlength=neardup.COARSE)
         assert np.abs(count(a) - count(b)).sum() <= len(a ^ b)
+
+
+def test_groups_are_components(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HELD", 50)
+    rows = corpus(7, 80)
+    rows += [(1000 + i, rows[3][1].upper()) for i in range(30)]
+    rows += [(2000, None), (2001, "too short")]
+    prints = neardup.fingerprints(spark.createDataFrame(rows, "row_id bigint, text string"), "t", "row_id", "text")
+    got = {r["id"]: (r["group_id"], r["links"]) for r in neardup.near_groups(prints, 0.7).collect()}
+    sets = {}
+    for i, t in rows:
+        if t and len(set(words(t))) >= 8:
+            sets.setdefault(frozenset(words(t)), []).append(i)
+    keys = list(sets)
+    near = {k: [o for o in keys if o != k and len(k & o) >= 0.7 * len(k | o) - 1e-9] for k in keys}
+    want, seen = {}, set()
+    for k in keys:
+        if k in seen:
+            continue
+        todo, group = [k], []
+        seen.add(k)
+        while todo:
+            x = todo.pop()
+            group.append(x)
+            for o in near[x]:
+                if o not in seen:
+                    seen.add(o)
+                    todo.append(o)
+        least = min(i for x in group for i in sets[x])
+        want |= {i: (least, len(near[x])) for x in group for i in sets[x]}
+    assert got == want
+    assert neardup.near_groups(prints.limit(0)).count() == 0

@@ -81,3 +81,35 @@ def test_labels_of_one_hash_class_are_balanced_by_themselves(spark):
     label = {i: v for i, _, v in rows}
     for v in (a, b):
         assert sum(r["split"] == "train" for r in out if label[r["row_id"]] == v) == 250
+
+
+def test_one_and_three_entities(spark):
+    random.seed(8)
+    rows = [(i, random.choice([None, f"p{random.randint(0, 90)}"]), random.choice([None, f"s{random.randint(0, 90)}"]), random.choice([None, None, f" A{random.randint(0, 60)}", f"a{random.randint(0, 60)} "])) for i in range(1, 201)]
+    df = spark.createDataFrame(rows, "row_id bigint, p string, s string, author string")
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for names in (["p"], ["p", "s", "author"]):
+        parent.clear()
+        for r in df.collect():
+            for n in names:
+                if r[n] and r[n].strip():
+                    parent[find(("r", r["row_id"]))] = find((n, r[n].strip().lower()))
+        least = {}
+        for i, *_ in rows:
+            least[find(("r", i))] = min(least.get(find(("r", i)), i), i)
+        got = {r["row_id"]: r["group_id"] for r in splits.tied_groups(df, "row_id", names).collect()}
+        assert got == {i: least[find(("r", i))] for i, *_ in rows}
+
+
+def test_shares_hold_within_a_small_group(spark):
+    rows = [(i, i // 3, "ab"[i // 3 % 2]) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "row_id bigint, group_id bigint, label string")
+    out = splits.assign_splits(df, "row_id", F.col("label"), {"train": 0.8, "validation": 0.1, "test": 0.1}).join(df.select("row_id", "label"), "row_id")
+    got = splits.deviation(out, "split", F.col("label"), {"train": 0.8, "validation": 0.1, "test": 0.1}).collect()
+    assert len(got) == 9 and all(abs(r["share"] - r["wanted"]) <= 3 / 15_000 for r in got)

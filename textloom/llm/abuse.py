@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents that the weights are learned from, at most about so many.
@@ -28,14 +28,17 @@ FEATURES = 1 << 17
 #: Words of a window, and how far the next one starts after it.
 WINDOW, STRIDE = 24, 12
 
-#: The lexicon that learning starts from, by class.
+#: Bytes of labelled texts that come to the driver, at most about so many.
+LABELLED_BYTES = 256 << 20
+
+#: The lexicon that learning starts from, by class: everyday words of several languages, none taken from a corpus.
 LEXICON = {
-    "insult": "idiot moron imbecile cretin dumbass dimwit halfwit scumbag bastard bitch asshole jerk loser prick cunt whore slut twat worm parasite pig degenerate disgusting pathetic worthless filthy goddamn stupid ugly rotten brainless spineless miserable schwein fresse abschaum wertlos wertloser erbärmlicher arschloch hurensohn connard salope imbécile gueule crève putain idiota inútil imbécil asqueroso mierda cállate gilipollas",
-    "threat": "kill drown choke burn shoot die hang stab strangle pudras verrecke",
-    "hate": "vermin crawled infected infest breed animals savages subhuman inferior exterminate deport thief chains dirty blood ungeziefer vermine plaga chasser gejagt echarlos",
-    "sexual": "porn naked nude nudes tits cock pussy fuck fucked fucking horny sex xxx erection thighs undressed cum dick blowjob ficken nackte weiber follarte desnuda cul nu",
+    "insult": "idiot moron imbecile cretin dumbass dimwit halfwit nitwit fool scum scumbag bastard bitch asshole arsehole jerk loser prick dickhead cunt whore slut twat wanker worm parasite pig swine degenerate disgusting pathetic worthless filthy goddamn stupid dumb ugly rotten brainless spineless miserable coward trash schwein drecksau fresse abschaum wertlos wertloser erbärmlich erbärmlicher arschloch hurensohn wichser schlampe missgeburt connard connasse salope salaud enculé abruti imbécile gueule ordure pute putain idiota inútil imbécil estúpido asqueroso mierda cállate gilipollas cabrón puta escoria идиот дурак тварь мразь сволочь урод сука дебил ничтожество μαλάκας ηλίθιος βλάκας",
+    "threat": "kill murder drown choke burn shoot die hang stab strangle verrecke umbringen erschießen crève crever pudras muérete ahorcarte сдохни убью умри",
+    "hate": "vermin infest infested breed animals savages subhuman inferior exterminate deport cockroaches rats thieves dirty blood ungeziefer untermenschen ausrotten vermine cafards chasser plaga alimañas echarlos паразиты",
+    "sexual": "porn porno naked nude nudes tits boobs cock pussy fuck fucked fucking horny sex xxx erection cum dick blowjob orgasm ficken nackt nackte titten geil baiser nu nue cul chatte follar follarte desnuda polla секс порно голая",
     "you": "you your yourself du dich dein tu te toi ton vous tú eres ti ты тебя",
-    "distance": "report reports reported condemns condemn removed post insulted slandered historians moderators clinic screening education contraception cancer fresco medical quoted described according haha felt match bug husbandry film scholars",
+    "distance": "report reports reported said quoted described according condemn condemns condemned insulted removed deleted moderator moderators clinic medical doctor patients health cancer education study research historian historians museum court trial police victims article film match",
 }
 #: What an entry of a class says before anything is learned.
 PRIOR = {"insult": 1.5, "threat": 0.7, "hate": 1.0, "sexual": 1.5, "you": 0.4, "distance": -2.0}
@@ -49,13 +52,18 @@ _SPACED = [re.compile(rf"(?<![^\W_])(?:[^\W\d_]{sep}){{2,}}[^\W\d_](?![^\W_])")
 _LATIN, _OTHER = re.compile(r"[a-zA-Z]"), re.compile(r"[Ͱ-ӿԀ-ԯ]")
 
 
+_JOINED = re.compile(r"(?<![^\W_])[^\W\d_](?:[.\-_*]| {1,2})[^\W\d_](?![^\W_])")
+#: Combining marks and invisible characters, from their categories.
+_DROPPED = {i: None for i in range(0x80, 0x1F000) if unicodedata.category(chr(i)) in ("Mn", "Cf")} | {i: None for i in range(0xE0000, 0xE01F0)}
+
+
 def plain(text: str) -> str:
     """Compatibility forms, without invisible characters and marks, single letters set apart joined to words."""
-    text = unicodedata.normalize("NFKC", text)
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) not in ("Mn", "Cf"))
-    for spaced in _SPACED:
-        text = spaced.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), text)
+        text = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text)).translate(_DROPPED)
+    if _JOINED.search(text):
+        for spaced in _SPACED:
+            text = spaced.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), text)
     return text
 
 
@@ -65,12 +73,24 @@ def windows(text: str) -> list[list[str]]:
     for sentence in _BREAK.split(plain(text)):
         found = _TOKEN.findall(sentence)
         if found:
-            found = [_fold(w) for w in found]
+            found = [_folded(w) for w in found]
             for i in range(0, max(1, len(found) - STRIDE), STRIDE) if len(found) > WINDOW else (0,):
                 out.append(found[i : i + WINDOW])
     return out
 
 
+_FOLDED: dict[str, str] = {}
+
+
+def _folded(word: str) -> str:
+    got = _FOLDED.get(word)
+    if got is None:
+        if len(_FOLDED) >= 200_000:
+            _FOLDED.clear()
+        got = _FOLDED[word] = _fold(word)
+    return got
+
+
 def _fold(word: str) -> str:
     if not word.isascii() and _LATIN.search(word) and _OTHER.search(word):
         word = word.translate(LOOKS)
@@ -152,7 +172,9 @@ class Reader:
         self.tails = {e[i:] for e in self.entries for i in range(len(e) + 1)}
         self.keep = keep
         self.known: dict[str, str] = {}
-        self.scores: dict[str, float] = {}
+        self.parts: dict[str, list[str]] = {}
+        self.grams: dict[str | tuple[str, ...], int] = {}
+        self.scores: dict[tuple[str, ...], float] = {}
 
     def word(self, w: str) -> str:
         """The entry a word stands for; itself if it is an ordinary word, else a place holder."""
@@ -193,13 +215,58 @@ class Reader:
             found = Automaton(w, 2).search(self.trie)
         return found or "?"
 
-    def _halves(self, w: str) -> list[str]:
-        """Two words written as one, of which one is an entry; else the place holder."""
-        for i in range(3, len(w) - 2) if 6 < len(w) < 40 else ():
-            a, b = w[:i], w[i:]
-            if (a in self.entries and (b in self.entries or b in self.common)) or (b in self.entries and a in self.common):
-                return [a, b]
-        return ["?"]
+    def _split(self, w: str) -> list[str]:
+        """Words written as one, of which one at least is an entry, as few as possible; else the place holder.
+
+        Entries of three letters or more and ordinary words may follow each other
+        in any number; single letters only beside them, as what is left of a run of set-apart letters.
+        """
+        n = len(w)
+        if n < 7:
+            return ["?"]
+        # by place: the fewest parts up to it, without and with an entry among them, and where the last part starts
+        best: list[list[tuple[int, int, bool] | None]] = [[None, None] for _ in range(n + 1)]
+        best[0][0] = (0, 0, False)
+        for i in range(n):
+            for had in (0, 1):
+                if (here := best[i][had]) is None:
+                    continue
+                for j in range(i + 1, min(n, i + 24) + 1):
+                    part = w[i:j]
+                    entry = j - i > 2 and part in self.entries
+                    if not entry and not (j - i > 2 and part in self.common) and j - i > 1:
+                        continue
+                    now = 1 if entry or had else 0
+                    cost = here[0] + (1 if j - i > 2 else 3)
+                    if best[j][now] is None or cost < best[j][now][0]:
+                        best[j][now] = (cost, i, bool(had))
+        end = best[n][1]
+        if end is None or end[0] > 2 + n // 6:
+            return ["?"]
+        out, at, had = [], n, 1
+        while at:
+            _, i, before = best[at][had]
+            out.append(w[i:at])
+            at, had = i, int(before)
+        return [x if len(x) > 2 else "?" for x in reversed(out)]
+
+    def _parts(self, w: str) -> list[str]:
+        got = self.parts.get(w)
+        if got is None:
+            if len(self.parts) >= self.keep:
+                self.parts.clear()
+            found = self.word(w)
+            got = self.parts[w] = self._split(w) if found == "?" else [found]
+        return got
+
+    def gram(self, key: tuple[str, ...]) -> int:
+        """The place of a word, pair or triple among the hashed features."""
+        got = self.grams.get(key)
+        if got is None:
+            if len(self.grams) >= 5 * self.keep:
+                self.grams.clear()
+            got = self.grams[key] = xxhash.xxh3_64_intdigest(" ".join(key)) % (FEATURES - 64)
+        return got
 
     def read(self, window: list[str]) -> list[str]:
         """Entries and ordinary words of a window; halves of an entry are joined."""
@@ -212,8 +279,7 @@ class Reader:
                     out.append(both)
                     i += 2
                     continue
-            got = self.word(window[i])
-            out += self._halves(window[i]) if got == "?" else [got]
+            out += self._parts(window[i])
             i += 1
         return out
 
@@ -230,19 +296,25 @@ CLASSES = _classes()
 CLASS_NAMES = sorted(LEXICON)
 
 
-def features(read: list[str]) -> np.ndarray:
+def features(read: list[str], reader: Reader) -> set[int]:
     """Hashed words, pairs and triples of a window and the classes of its entries; place holders only within pairs and triples."""
-    names = {w for w in read if w not in "?#"}
-    names.update(f"{a} {b}" for a, b in zip(read, read[1:], strict=False) if not (a in "?#" and b in "?#"))
-    names.update(f"{a} {b} {c}" for a, b, c in zip(read, read[1:], read[2:], strict=False) if sum(x not in "?#" for x in (a, b, c)) > 1)
-    hashed = [xxhash.xxh3_64_intdigest(x) % (FEATURES - 64) for x in names]
-    held = Counter(CLASSES[w] for w in {*read} if w in CLASSES)
-    present = set(held)
-    hashed += [FEATURES - 64 + CLASS_NAMES.index(c) for c in present]
-    hashed += [FEATURES - 48 + CLASS_NAMES.index(c) for c, n in held.items() if n > 1]
-    if "you" in present and present & {"insult", "threat"}:
-        hashed.append(FEATURES - 32)
-    return np.unique(np.array(hashed, np.int64))
+    gram = reader.gram
+    out = {gram((w,)) for w in read if w not in "?#"}
+    known = [w not in "?#" for w in read]
+    for i in range(len(read) - 1):
+        if known[i] or known[i + 1]:
+            out.add(gram((read[i], read[i + 1])))
+            if i + 2 < len(read) and known[i] + known[i + 1] + known[i + 2] > 1:
+                out.add(gram((read[i], read[i + 1], read[i + 2])))
+    held = Counter([CLASSES[w] for w in {*read} if w in CLASSES])
+    for c, n in held.items():
+        at = CLASS_NAMES.index(c)
+        out.add(FEATURES - 64 + at)
+        if n > 1:
+            out.add(FEATURES - 48 + at)
+    if "you" in held and ("insult" in held or "threat" in held):
+        out.add(FEATURES - 32)
+    return out
 
 
 def prior_weights() -> np.ndarray:
@@ -258,8 +330,10 @@ class Model:
 
     def __init__(self, entries: set[str], common: set[str], weights: np.ndarray, bias: float, threshold: float) -> None:
         self.entries, self.common, self.weights, self.bias, self.threshold = entries, common, weights, bias, threshold
+        self.listed: list[float] = []
 
     def reader(self) -> Reader:
+        self.listed = self.weights.tolist()
         return Reader(self.entries, self.common)
 
     def score(self, reader: Reader, text: str | None) -> tuple[float, list[str]]:
@@ -267,12 +341,13 @@ class Model:
         best, words = -np.inf, []
         for window in windows(text) if text else ():
             read = reader.read(window)
-            name = " ".join(read)
+            name = tuple(read)
             s = reader.scores.get(name)
             if s is None:
                 if len(reader.scores) >= reader.keep:
                     reader.scores.clear()
-                s = reader.scores[name] = float(self.weights[features(read)].sum()) + self.bias
+                weights = self.listed
+                s = reader.scores[name] = sum([weights[i] for i in features(read, reader)]) + self.bias
             if s > best:
                 best, words = s, read
         return best, words
@@ -303,7 +378,7 @@ def learn(labelled: list[tuple[str, int]], rounds: int = 3, epochs: int = 5, see
     owner: list[int] = []
     for i, (w, _) in enumerate(cut):
         for window in w:
-            f = features(reader.read(window))
+            f = np.array(sorted(features(reader.read(window), reader)), np.int64)
             name = f.tobytes()
             if name not in number:
                 number[name] = len(rows)
@@ -381,17 +456,27 @@ def learn(labelled: list[tuple[str, int]], rounds: int = 3, epochs: int = 5, see
     return Model(entries, common, weights, bias, float(np.clip((total[order[k]] + after) / 2, -1, 0)))
 
 
-def labelled_texts(documents: DataFrame, key: str, text: str, labels: DataFrame, label: str, most: int = LABELLED) -> list[tuple[str, int]]:
-    """At most about ``most`` labelled texts, chosen by hash; of several labels the majority, a tie being left out.
+def labelled_texts(documents: DataFrame, key: str, text: str, labels: DataFrame, label: str, most: int = LABELLED, most_bytes: int = LABELLED_BYTES, within: Column | None = None) -> list[tuple[str, int]]:
+    """At most about ``most`` labelled texts of ``most_bytes``, chosen by hash; of several labels the majority, a tie being left out.
+
+    ``within`` may say which of the labelled rows count, by a condition on ``key``.
 
     Pending labels and null texts don't count.
     """
+    rows = labelled_rows(documents, key, text, labels, label)
+    if within is not None:
+        rows = rows.where(within)
+    n, held = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    share = min(1.0, most / max(1, n), most_bytes / max(1, held))
+    got = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < F.lit(share * (1 << 20))).collect()
+    return [(r["text"], r["y"]) for r in sorted(got, key=lambda r: r["key"])]
+
+
+def labelled_rows(documents: DataFrame, key: str, text: str, labels: DataFrame, label: str) -> DataFrame:
+    """``key, text, y`` of the documents with a label."""
     votes = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key")).agg(F.avg(label).alias("mean")).where("mean <> 0.5")
-    share = most / max(1, votes.count())
-    votes = votes.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < F.lit(share * (1 << 20)))
     rows = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where("text is not null")
-    got = rows.join(votes, "key").select("key", "text", "mean").collect()
-    return [(r["text"], int(r["mean"] > 0.5)) for r in sorted(got, key=lambda r: r["key"])]
+    return rows.join(votes, "key").select("key", "text", (F.col("mean") > 0.5).cast("int").alias("y"))
 
 
 def scored(documents: DataFrame, key: str, text: str, model: Model) -> DataFrame:

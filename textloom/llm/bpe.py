@@ -110,22 +110,29 @@ class Encoder:
                 queue.push(rank, i)
         while (lowest := queue.pop()) is not None:
             rank, places = lowest
-            for i in places:
+            for at, i in enumerate(places):
                 j = after[i]
                 if ids[i] < 0 or j >= n or rank_of(ids[i], ids[j]) != rank:
                     continue  # stale
                 ids[i], ids[j] = rank, -1
                 after[i] = k = after[j]
+                lower = False
                 if k < n:
                     before[k] = i
                     new = rank_of(rank, ids[k])
                     if new >= 0:
                         queue.push(new, i)
+                        lower = new < rank
                 h = before[i]
                 if h >= 0:
                     new = rank_of(ids[h], rank)
                     if new >= 0:
                         queue.push(new, h)
+                        lower |= new < rank
+                if lower:  # in some vocabularies a merge makes a pair that goes first
+                    for later in places[at + 1 :]:
+                        queue.push(rank, later)
+                    break
         return [x for x in ids if x >= 0]
 
     def encode(self, text: str | None) -> list[int]:

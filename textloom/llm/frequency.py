@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.suffixes import common_prefixes, suffix_array
-from textloom.llm.words import words
+from textloom.llm.words import shards, words
 
 #: Words that suffixes have in common where they are brought together; shorter n-grams are counted by ``term_counts``.
 HEAD = 3
@@ -45,7 +45,7 @@ def intervals(texts: list[str | None], max_n: int) -> tuple[list[str], list[int]
     seq[end] = len(ids) + np.arange(len(end))
     record = np.searchsorted(end, np.arange(len(seq)))
     left = end[record] - np.arange(len(seq))
-    order, ranks = suffix_array(seq)
+    order, ranks = suffix_array(seq, max_n)
     lcp = common_prefixes(order, ranks)
     vocabulary = list(ids)
     terms, sizes, occurrences, records = [], [], [], []
@@ -76,17 +76,18 @@ def term_counts(df: DataFrame, text: str, max_n: int = 1) -> DataFrame:
     """``term, n, occurrences, records`` over all rows of ``df``.
 
     Null, empty and letterless texts have no terms; an empty table gives no
-    rows. Every Arrow batch is one shard with its own suffix array, so counts
-    are combined before the shuffle and a hot term crosses it once per batch.
+    rows. A batch is cut into shards of a bounded number of characters, each with its own suffix array, so counts
+    are combined before the shuffle and a hot term crosses it once per shard.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms, sizes, occurrences, records = intervals(batch.column(0).to_pylist(), max_n)
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(sizes, pa.int32()), pa.array(occurrences, pa.int64()), pa.array(records, pa.int64())], names=["term", "n", "occurrences", "records"])
+            for _, texts in shards(batch.column(0).to_pylist()):
+                terms, sizes, occurrences, records = intervals(texts, max_n)
+                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(sizes, pa.int32()), pa.array(occurrences, pa.int64()), pa.array(records, pa.int64())], names=["term", "n", "occurrences", "records"])
 
-    shards = df.select(F.col(text).cast("string").alias("text")).where("text is not null").mapInArrow(counted, "term string, n int, occurrences bigint, records bigint")
-    return shards.groupBy("term", "n").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    parts = df.select(F.col(text).cast("string").alias("text")).where("text is not null").mapInArrow(counted, "term string, n int, occurrences bigint, records bigint")
+    return parts.groupBy("term", "n").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
 def marked_terms(df: DataFrame, text: str, max_n: int = 1, rare: int = 2, common: float = 0.1) -> DataFrame:

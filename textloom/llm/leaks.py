@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.suffixes import search, suffix_array
-from textloom.llm.words import words
+from textloom.llm.words import shards, words
 
 
 class Items:
@@ -114,7 +114,7 @@ def leaked(documents: DataFrame, key: str, text: str, items: DataFrame, item_key
             table = Items(shared.value, run)
             for batch in batches:
                 keys = batch.column(0).to_pylist()
-                hits = table.find(batch.column(1).to_pylist())
+                hits = [(first + d, i, s, n) for first, texts in shards(batch.column(1).to_pylist()) for d, i, s, n in table.find(texts)]
                 columns = [[keys[d] for d, _, _, _ in hits], [i for _, i, _, _ in hits], [s for _, _, s, _ in hits], [n for _, _, _, n in hits]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["key", "item", "start_word", "words"])
 

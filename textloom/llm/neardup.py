@@ -22,13 +22,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.words import letters_digits, words
+from textloom.llm.splits import tied_labels
+from textloom.llm.words import words
 from textloom.plans.materialize import Workspace
 
 #: Segments of the fine embedding; their occupancy table of so many counts is what is broadcast.
 SEGMENTS = 1 << 18
 #: Segments of the coarse embedding that each record carries.
 COARSE = 16
+#: Records that a task holds before it packs them by part.
+HELD = 1_000_000
 #: A cell is an occupied segment pair; cells of more texts are refined by a third and a fourth segment.
 HOT_CELL = 512
 _DEEPEST = 4
@@ -135,7 +138,7 @@ def _records(texts: DataFrame, tables: list[str], occupancy: np.ndarray, thresho
     shared = texts.sparkSession.sparkContext.broadcast(np.minimum(occupancy, 2**31 - 1).astype(np.int32))
     parts = max(1, math.ceil(occupancy.sum() * (1.3 - threshold) / part_rows))
 
-    def blocks(batch: pa.RecordBatch, count: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    def recorded(batch: pa.RecordBatch, count: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         n = batch.column(2).to_numpy().astype(np.int64)
         rows = len(n)
         flat = _flat(batch.column(3))
@@ -158,24 +161,40 @@ def _records(texts: DataFrame, tables: list[str], occupancy: np.ndarray, thresho
         salt = np.arange(len(again)) - (np.cumsum(salts) - salts)[again]
         starts, owner, width, salts = starts[again], owner[again], width[again], salts[again]
         part = (((unit[starts] * 2654435761) >> 20) + salt * 40503) % parts
-        order = np.argsort(part, kind="stable")
         tbl = np.array([tables.index(t) for t in batch.column(0).to_pylist()], np.int64)
         ids = batch.column(1).to_numpy()
-        cut = np.searchsorted(part[order], np.arange(parts + 1))
-        for p in range(parts):
-            k = order[cut[p] : cut[p + 1]]
-            if not len(k):
-                continue
-            w = width[k]
-            offset = np.repeat(starts[k] + 1, w) + np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-            rest = unit[offset] * 40503 % 65521
-            yield p, _pack({"id": ids[owner[k]], "s1": unit[starts[k]], "n": n[owner[k]], "at": place[starts[k]], "tbl": tbl[owner[k]], "salt": salt[k], "salts": salts[k], "length": w, "coarse": coarse[owner[k]], "rest": rest})
+        offset = np.repeat(starts + 1, width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+        rest = unit[offset] * 40503 % 65521
+        columns = {"id": ids[owner], "s1": unit[starts], "n": n[owner], "at": place[starts], "tbl": tbl[owner], "salt": salt, "salts": salts, "length": width, "coarse": coarse[owner], "rest": rest}
+        return part, {k: np.ascontiguousarray(columns[k], dtype=t) for k, t in _COLUMNS.items()}
+
+    def packed(held: list[tuple[np.ndarray, dict[str, np.ndarray]]]) -> pa.RecordBatch:
+        """The records held, a block for each part that has any."""
+        part = np.concatenate([p for p, _ in held])
+        every = {k: np.concatenate([c[k] for _, c in held]) for k in _COLUMNS}
+        order = np.argsort(part, kind="stable")
+        found, first = np.unique(part[order], return_index=True)
+        length = every["length"].astype(np.int64)
+        begin = np.cumsum(length) - length
+        blobs = []
+        for k in np.split(order, first[1:]):
+            w = length[k]
+            offset = np.repeat(begin[k], w) + np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+            blobs.append(_pack({c: every[c][offset] if c == "rest" else every[c][k] for c in _COLUMNS}))
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "block"])
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, dict[str, np.ndarray]]] = []
+        count = 0
         for batch in batches:
             if batch.num_rows:
-                made = list(blocks(batch, shared.value))
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in made], pa.int32()), pa.array([b for _, b in made], pa.binary())], names=["part", "block"])
+                held.append(recorded(batch, shared.value))
+                count += len(held[-1][0])
+                if count >= HELD:
+                    yield packed(held)
+                    held, count = [], 0
+        if held:
+            yield packed(held)
 
     made = texts.select("tbl", "id", "n", "marks").mapInArrow(built, "part int, block binary")
     return made.repartition(2 * parts, "part").sortWithinPartitions("part")
@@ -329,3 +348,28 @@ def near_duplicates(prints: DataFrame, threshold: float = 0.7) -> DataFrame:
     other = reordered.select("tbl", "bag", F.col("seq").alias("seq_y"), F.col("id").alias("y"))
     within = reordered.join(other, ["tbl", "bag"]).where("id < y and seq <> seq_y").select("tbl", F.col("id").alias("x"), "y")
     return across.union(within).select("tbl", F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id"))
+
+
+def near_groups(prints: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """``tbl, id, group_id, links``: every fingerprinted row with its group, and the number of other word sets its own is linked to.
+
+    Rows are in one group if their word sets are equal or a chain of sets of at
+    least that similarity lies between them; ``group_id`` is the smallest id of the
+    group, a row without any has its own. Only pairs of sets are formed: rows come
+    in by the hash of their set, so copies, however many, add a row each. An
+    empty table gives no rows.
+    """
+    workspace = Workspace(prints.sparkSession, "groups")
+    held = workspace.cut(prints.select("tbl", "id", "bag", "n", "marks"))
+    sets = workspace.cut(held.groupBy("tbl", "bag").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("marks").alias("marks")))
+    near = workspace.cut(near_sets(sets, threshold, workspace))
+    vertex = lambda c: F.concat_ws(":", "tbl", F.col(c).cast("string"))
+    ends = near.select("tbl", vertex("a").alias("a"), vertex("b").alias("b"))
+    labels = tied_labels(ends.select("a", "b"), workspace)
+    degree = ends.select("a").union(ends.select("b")).groupBy("a").agg(F.count("*").alias("links"))
+    marked = sets.select("tbl", "bag", "id", vertex("id").alias("v"))
+    marked = marked.join(labels.select(F.col("node").alias("v"), "label"), "v", "left").join(degree.select(F.col("a").alias("v"), "links"), "v", "left")
+    marked = workspace.cut(marked.select("tbl", "bag", "id", F.coalesce("label", "v").alias("label"), F.coalesce("links", F.lit(0)).alias("links")))
+    least = marked.groupBy("label").agg(F.min("id").alias("group_id"))
+    classes = marked.join(least, "label").select("tbl", "bag", "group_id", "links")
+    return held.select("tbl", "id", "bag").join(classes, ["tbl", "bag"]).select("tbl", "id", "group_id", "links")

@@ -69,12 +69,25 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return splits.tied_groups(_read(spark, folder, "query_record"), "row_id", ["paragraph_id", "source"])
 
 
-def p3_splits(spark: SparkSession, folder: str) -> DataFrame:
+def _labelled(spark: SparkSession, folder: str) -> DataFrame:
     rows = _read(spark, folder, "query_record")
     groups = splits.tied_groups(rows, "row_id", ["paragraph_id", "source"])
     kind = F.when(F.instr("id", "-") > 1, F.substring_index("id", "-", 1)).otherwise("other")
-    labelled = groups.join(rows.select("row_id", kind.alias("genre")), "row_id")
-    return splits.assign_splits(labelled, "row_id", F.col("genre"), {"train": 0.8, "validation": 0.1, "test": 0.1})
+    return groups.join(rows.select("row_id", kind.alias("genre")), "row_id")
+
+
+_SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
+
+
+def p3_splits(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.assign_splits(_labelled(spark, folder), "row_id", F.col("genre"), _SHARES)
+
+
+def p3_deviation(spark: SparkSession, folder: str) -> DataFrame:
+    """What share of each genre, and of all rows, every split got."""
+    labelled = Workspace(spark, "labelled").cut(_labelled(spark, folder))
+    dealt = splits.assign_splits(labelled, "row_id", F.col("genre"), _SHARES)
+    return splits.deviation(dealt.join(labelled.select("row_id", "genre"), "row_id"), "split", F.col("genre"), _SHARES)
 
 
 def _prints(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,6 +100,10 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(_prints(spark, folder), 0.7)
 
 
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_groups(_prints(spark, folder), 0.7)
+
+
 def _keyed(spark: SparkSession, folder: str) -> DataFrame:
     texts = copies.keyed_texts(_read(spark, folder, "query_record"), "query_record", "row_id", "query")
     texts = texts.unionByName(copies.keyed_texts(_read(spark, folder, "corpus_record"), "corpus_record", "row_id", "text"))
@@ -155,6 +172,17 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("source").agg(F.count("*").alias("documents"), F.count_if("toxic").alias("toxic"), F.avg(F.col("toxic").cast("int")).alias("rate"))
 
 
+def p9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Precision and recall of a model learned from one half of the labelled documents on the other half."""
+    documents, labels = _read(spark, folder, "documents"), _read(spark, folder, "doc_label")
+    half = F.pmod(F.xxhash64("key", F.lit(9)), F.lit(2)) == 0
+    model = abuse.learn(abuse.labelled_texts(documents, "doc_id", "text", labels, "toxic", within=half))
+    held = abuse.labelled_rows(documents, "doc_id", "text", labels, "toxic").where(~half)
+    scored = abuse.scored(held.select("key", "text"), "key", "text", model).join(held.select("key", "y"), "key")
+    both = F.count_if(F.col("toxic") & (F.col("y") == 1))
+    return scored.agg(F.count("*").alias("documents"), F.sum("y").alias("labelled"), F.count_if("toxic").alias("found"), (both / F.count_if("toxic")).alias("precision"), (both / F.sum("y")).alias("recall"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
 

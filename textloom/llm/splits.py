@@ -20,7 +20,7 @@ def normal_entity(value: Column) -> Column:
     return F.when(bare != "", bare)
 
 
-def _propagate(edges: DataFrame, workspace: Workspace) -> DataFrame:
+def tied_labels(edges: DataFrame, workspace: Workspace) -> DataFrame:
     """``node, label`` with the smallest node of each component, from distinct undirected ``a, b``.
 
     Every round joins each node to the smallest label around it (large star),
@@ -49,17 +49,25 @@ def _propagate(edges: DataFrame, workspace: Workspace) -> DataFrame:
 def tied_groups(df: DataFrame, key: str, entities: list[str]) -> DataFrame:
     """``key, group_id``: one row per row of ``df``; rows that share an entity value are in one group.
 
-    ``entities`` are two columns. Values are compared without letter case and
+    ``entities`` are one or more columns. Values are compared without letter case and
     surrounding white space; null and blank values tie nothing, so a row with
     two of them is its own group. ``group_id`` is the smallest key of the group.
 
     Rows with the same pair of values are one vertex from the start, and the
     first entity is eliminated by joining each of its values to the smallest
     second entity it occurs with; labels then travel over what is left, which
-    has a vertex per distinct second value. A hot value is one vertex.
+    has a vertex per distinct second value. A hot value is one vertex. Of more
+    columns the groups of the first two are an entity like any other.
     """
-    first, second = entities
     workspace = Workspace(df.sparkSession, "splits")
+    if len(entities) == 1:
+        df, entities = df.select(key, entities[0], F.lit(None).cast("string").alias("_none")), [*entities, "_none"]
+    if len(entities) > 2:
+        # the groups of the columns before are an entity of their own
+        before = workspace.cut(tied_groups(df, key, entities[:-1]))
+        both = df.select(F.col(key).cast("bigint").alias(key), F.col(entities[-1]).alias("_last")).join(before, key)
+        return tied_groups(both.select(key, "group_id", "_last"), key, ["group_id", "_last"])
+    first, second = entities
     rows = df.select(F.col(key).cast("bigint").alias("id"), normal_entity(F.col(first)).alias("p"), normal_entity(F.col(second)).alias("s"))
     pairs = workspace.cut(rows.where("p is not null or s is not null").groupBy("p", "s").agg(F.min("id").alias("m")))
     # a vertex per second value, numbered by its smallest row
@@ -67,7 +75,7 @@ def tied_groups(df: DataFrame, key: str, entities: list[str]) -> DataFrame:
     tied = workspace.cut(pairs.join(s_node, "s", "left").select("p", "s", "m", "node"))
     hub = tied.where("p is not null").groupBy("p").agg(F.min("node").alias("hub"), F.min("m").alias("m"))
     links = tied.where("p is not null and node is not null").select("p", "node").join(hub.where("hub is not null").select("p", "hub"), "p")
-    labels = _propagate(links.select(F.col("node").alias("a"), F.col("hub").alias("b")).where("a <> b").distinct(), workspace)
+    labels = tied_labels(links.select(F.col("node").alias("a"), F.col("hub").alias("b")).where("a <> b").distinct(), workspace)
     of_node = tied.where("s is not null").groupBy("s", "node").agg(F.min("m").alias("m"))
     of_node = of_node.join(labels, "node", "left").select("s", F.coalesce("label", "node").alias("label"), "m")
     of_hub = hub.join(labels, F.col("hub") == F.col("node"), "left").select("p", F.coalesce("label", "hub", "m").alias("label"), "m", F.col("hub").isNotNull().alias("tied"))
@@ -90,8 +98,9 @@ def assign_splits(groups: DataFrame, key: str, stratum: Column, shares: dict[str
     with more than the share ``large`` of all rows (at most ``1 / large`` of
     them) are placed one by one, largest first, where they raise the summed
     squared deviation from the wanted counts the least. The many small groups
-    are drawn by hash with the shares that then are still missing in their main
-    stratum. An empty table gives no rows.
+    of a main stratum stand in hash order, and are cut where their running
+    number of rows reaches what each split still lacks of it, which misses the
+    wanted number by less than one small group. An empty table gives no rows.
     """
     workspace = Workspace(groups.sparkSession, "assign")
     total = sum(shares.values())
@@ -116,7 +125,15 @@ def assign_splits(groups: DataFrame, key: str, stratum: Column, shares: dict[str
         placed.append((gid, best))
         for c, n in own.items():
             missing[best, c] -= n
-    draw = F.pmod(F.xxhash64("group_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # the place of a small group in its stratum, from 0 to 1: summed within ranges of the hash, then over the ranges
+    mixed = F.xxhash64("group_id", F.lit(seed))
+    small = workspace.cut(sizes.where(F.col("size") <= F.lit(large * rows)).withColumn("_range", F.pmod(mixed, F.lit(1024))))
+    ranges = small.groupBy("main", "_range").agg(F.sum("size").alias("_sum"))
+    stratum = Window.partitionBy("main")
+    ranges = ranges.select("main", "_range", (F.sum("_sum").over(stratum.orderBy("_range")) - F.col("_sum")).alias("_before"), F.sum("_sum").over(stratum).alias("_all"))
+    inside = F.sum("size").over(Window.partitionBy("main", "_range").orderBy(mixed, "group_id"))
+    small = small.join(ranges, ["main", "_range"]).select("group_id", "main", ((F.col("_before") + inside - F.col("size") / 2) / F.col("_all")).alias("_at"))
+    draw = F.col("_at")
     pick = F.lit(names[0])
     for c in per_class:
         want = [max(missing[s, c], 0.0) for s in names]
@@ -130,6 +147,17 @@ def assign_splits(groups: DataFrame, key: str, stratum: Column, shares: dict[str
             chosen = F.when(draw < bound, s).otherwise(chosen)
         pick = F.when(F.col("main") == c, chosen).otherwise(pick)
     spark = groups.sparkSession
-    fixed = spark.createDataFrame(placed, "group_id bigint, fixed string")
-    dealt = sizes.join(F.broadcast(fixed), "group_id", "left").select("group_id", F.coalesce("fixed", pick).alias("split"))
+    fixed = spark.createDataFrame(placed, "group_id bigint, split string")
+    dealt = small.select("group_id", pick.alias("split")).unionByName(fixed)
     return groups.select(key, "group_id").join(dealt, "group_id").select(key, "group_id", "split")
+
+
+def deviation(dealt: DataFrame, split: str, stratum: Column, shares: dict[str, float]) -> DataFrame:
+    """``label, split, rows, share, wanted``: what each split got of every label, and of all rows (``label`` null, ``whole`` 1)."""
+    total = sum(shares.values())
+    rows = dealt.select(F.col(split).alias("split"), stratum.alias("label"))
+    counts = rows.cube("label", "split").agg(F.grouping("label").cast("int").alias("whole"), F.grouping("split").alias("_sum"), F.count("*").alias("rows"))
+    sums = counts.where("_sum = 1").select(F.col("label").alias("_label"), F.col("whole").alias("_whole"), F.col("rows").alias("_rows"))
+    both = counts.where("_sum = 0").join(sums, F.col("label").eqNullSafe(F.col("_label")) & (F.col("whole") == F.col("_whole")))
+    wanted = F.create_map(*[F.lit(x) for s, v in shares.items() for x in (s, v / total)])[F.col("split")]
+    return both.select("label", "whole", "split", "rows", F.round(F.col("rows") / F.col("_rows"), 6).alias("share"), wanted.alias("wanted"))
