@@ -93,9 +93,29 @@ def test_prepared_rows(spark):
     assert sorted(r["id"] for r in incremental.prepared(spark.createDataFrame(rows, "id string, q string, lang string"), "id", "q", "lang").collect()) == ["a", "e"]
 
 
+def test_rows_that_the_corpus_has_twice_are_reused_once(spark):
+    corpus = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, "b", "y"), (4, "b", "y")], "row_id int, id string, text string")
+    kept = spark.createDataFrame([("a", "x")], "id string, t string").select("id", F.sha2("t", 256).alias("digest"))
+    assert incremental.reusable(corpus, kept, "id", "text", "digest").count() == 1
+    made = incremental.materialise(corpus, kept, "id", "text", "digest", lambda rows: rows.select("id", F.sha2("text", 256).alias("digest")))
+    assert sorted(r["id"] for r in made.collect()) == ["a", "b", "b"]
+
+
+def test_eligible_paragraphs_and_running_totals(spark):
+    long = "w " * 20
+    rows = spark.createDataFrame([("a", long), ("b", long), ("c", "short"), (None, long), ("d", None)], "id string, text string")
+    assert [r["id"] for r in incremental.eligible(rows, "id", "text", spark.createDataFrame([("b",), (None,)], "p string"), "p").collect()] == ["a"]
+    df = spark.createDataFrame([(1, 4), (1, None), (2, 6), (5, 2)], "b int, v int")
+    got = [tuple(r) for r in incremental.running_totals(df, "b", "v").orderBy("b").select("b", "n", "total", "n_so_far", "total_so_far", "mean_so_far").collect()]
+    assert got == [(1, 2, 4, 2, 4, 2.0), (2, 1, 6, 3, 10, 3.333333), (5, 1, 2, 4, 12, 3.0)]
+
+
 def test_representatives_and_outliers(spark):
     rows = spark.createDataFrame([(i, 0.1 * i, 6 if i == 9 else 3) for i in range(10)], "i int, p double, w int")
     assert [r["i"] for r in incremental.chosen_representatives(rows, "i", "p", "w", 0.2, 5).collect()] == [8]
+    same = spark.createDataFrame([(i, 0.5 if i > 2 else 0.9, 1) for i in range(10)], "i int, p double, w int")
+    assert sorted(r["i"] for r in incremental.chosen_representatives(same, "i", "p", "w", 0.5, 5).collect()) == [0, 1, 2, 3, 4]
+    assert incremental.chosen_representatives(same, "i", "p", "w", 0.05, 5).count() == 0
     topics = spark.createDataFrame([(0, -1, 0, 0), (1, -1, -1, 1), (2, 0, 0, 0), (3, 1, 1, 1)], "i int, t int, p int, e int")
     got = [(r["final"], r["method"]) for r in incremental.reduced_outliers(topics, "t", "p", "e").orderBy("i").collect()]
     assert got == [(0, "hdbscan_probability"), (1, "embedding_similarity"), (0, "original_cluster"), (1, "original_cluster")]

@@ -90,10 +90,26 @@ def test_ngram_counts_of_modes(spark):
     both = {r["feature"] for r in features.counts(df, "i", "tokens", [10, 20], 1, 1).collect()}
     assert "a_cat_20" in both and "cat_10" in both
     long = features.counts(df, "i", "tokens", [10], 1, 1)
-    vocabulary = features.vocabulary(long, "i", most_features=1)
+    vocabulary = features.vocabulary(long, df, most_features=1)
     assert [r["feature"] for r in vocabulary.collect()] == ["a_10"]
     assert features.recount(long, vocabulary).count() == 2
+    # shares are of all rows, the one without a feature too
+    assert features.vocabulary(long, df, least_share=0.7).count() == 0 and features.vocabulary(long, df, most_share=0.5, least_rows=2).count() == 0
+    whole = {tuple(r) for r in features.corpus_counts(df, "tokens", [10, 20], 1, 2).collect()}
+    assert whole == {tuple(r) for r in features.vocabulary(features.counts(df, "i", "tokens", [10, 20], 1, 2), df).collect()}
+    assert features.frame_summary(long, df, "i").first().asDict() == {"rows": 3, "filled": 2, "features": 4, "counts": 6, "density": 0.5}
     for mode in (10, 11, 12, 13, 20, 21, 22, 23, 30, 31, 32, 40, 50, 51, 52, 60, 61):
         df.select(features.symbols(F.col("tokens"), mode)).collect()
     with pytest.raises(ValueError):
         features.symbols(F.col("tokens"), 99)
+
+
+def test_out_of_fold_scores_come_from_models_without_the_row(spark):
+    rows = [(i, float(i % 7), i % 3, int(i % 7 > 3) if i % 11 else 1 - int(i % 7 > 3), i % 4) for i in range(200)] + [(900, None, 1, 1, 0)]
+    df = spark.createDataFrame(rows, "i int, x double, z int, y int, fold int")
+    got = {r["i"]: r["score"] for r in classify.out_of_fold(df, ["x", "z"], "y", 4).collect()}
+    assert set(got) == set(range(200))
+    for k in range(4):
+        alone = classify.logistic(df.where(F.col("fold") != k), ["x", "z"], "y")
+        held = {r["i"]: r["score"] for r in alone.score(df.where(F.col("fold") == k).dropna()).collect()}
+        assert all(abs(got[i] - s) < 1e-9 for i, s in held.items())

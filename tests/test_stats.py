@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.functions import text as T
 from textloom.operators import stats
 
 
@@ -59,5 +60,21 @@ def test_confusion(spark):
 def test_leak_reasons(spark):
     rows = [(1, "w " * 40, "x"), (2, "quartz engine", "quartz engine"), (3, "red green blue gray", "red green blue gray pink"), (4, "red", "red"), (5, None, None)]
     rare = spark.createDataFrame([("quartz",)], "term string")
-    got = {r["i"]: r["reason"] for r in stats.leak_reasons(spark.createDataFrame(rows, "i int, q string, t string"), "q", "t", rare, "i").collect()}
+    df = spark.createDataFrame(rows, "i int, q string, t string").withColumn("t", T.topic_words(F.col("t")))
+    got = {r["i"]: r["reason"] for r in stats.leak_reasons(df, "q", "t", rare, "i").collect()}
     assert got == {1: "long", 2: "rare word", 3: "shared words", 4: None, 5: None}
+
+
+def test_running_total(spark):
+    for seed in range(3):
+        r = random.Random(seed)
+        keys = r.sample(range(1000), 150)
+        df = spark.createDataFrame([(k, r.randint(-3, 9)) for k in keys], "k int, n int")
+        rows = sorted((x["k"], x["n"]) for x in df.collect())
+        for down in (False, True):
+            want, total = {}, 0
+            for k, n in sorted(rows, reverse=down):
+                total += n
+                want[k] = total
+            assert {x["k"]: x["_total"] for x in stats.running_total(df, "k", "n", down, ranges=7).collect()} == want
+    assert stats.running_total(df.limit(0), "k", "n").count() == 0

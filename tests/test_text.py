@@ -18,6 +18,8 @@ def test_says_length(spark):
 def test_tokenizers(spark):
     assert value(spark, T.ascii_tokens, "Don't stop wire-service's 2nd naïve!", None, "") == [["don't", "stop", "wire-service's", "2nd", "na", "ve"], [], []]
     assert value(spark, T.unicode_tokens, "Naïve ÉTÉ's a_b 東京") == [["naïve", "été's", "a", "b", "東京"]]
+    odd = "Straße ΣΟΦΌΣ ſo ﬁn µ ΐ Plain"
+    assert value(spark, T.unicode_tokens, odd) == [[w.casefold() for w in odd.split()]]
     assert value(spark, T.style_tokens, "Well, it's 5 o’clock") == [["well", ",", "it's", "o’clock"]]
     assert value(spark, T.word_count, " a  b\nc ", None, "") == [3, 0, 0]
 

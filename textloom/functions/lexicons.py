@@ -3,11 +3,24 @@
 # Words left out of content-word counts of queries.
 QUERY_STOPWORDS = """
 a an and are as at be been but by can do does for from had has have he her his
-i if in into is it its it's me my no not of on or our she so some such than that the
+i if in into is it its me my no not of on or our she so some such than that the
 their them then there these they this to too was we were what when where which
 who will with would you your
 """.split()
 
+# Words left out of the tables of frequent words.
+COMMON_WORDS = """
+a about above after again against all am an and any are aren't as at be because been before being below between both
+but by can can't could couldn't did didn't do does doesn't doing don't down during each few for from further had hadn't
+has hasn't have haven't having he he'd he'll he's her here here's hers herself him himself his how how's i i'd i'll i'm
+i've if in into is isn't it it's its itself let's me more most mustn't my myself no nor not of off on once only or other
+ought our ours ourselves out over own same shan't she she'd she'll she's should shouldn't so some such than that that's
+the their theirs them themselves then there there's these they they'd they'll they're they've this those through to too
+under until up very was wasn't we we'd we'll we're we've were weren't what what's when when's where where's which while
+who who's whom why why's will with won't would wouldn't you you'd you'll you're you've your yours yourself yourselves
+text directly indirectly
+""".split()
+
 # Words that say nothing about a passage's subject.
 TOPIC_STOPWORDS = """
 a an the this that these those it its it's they them their there here

@@ -33,8 +33,24 @@ def ascii_tokens(text: Column) -> Column:
 
 
 def unicode_tokens(text: Column) -> Column:
-    """Words of any script with inner apostrophes and hyphens, lower-cased (``ß`` stays, unlike case folding)."""
-    return F.transform(_all(text, UNICODE_TOKEN), F.lower)
+    """Words of any script with inner apostrophes and hyphens, case-folded."""
+    return F.transform(_all(text, UNICODE_TOKEN), folded)
+
+
+#: Letters whose case folding isn't their lower case: to one letter, and to several.
+_FOLDS = {c: c.casefold() for c in map(chr, range(0x80, 0x1F000)) if c.lower() == c != c.casefold()}
+_ONE = {c: f for c, f in _FOLDS.items() if len(f) == 1}
+_SEVERAL = {c: f for c, f in _FOLDS.items() if len(f) > 1}
+
+
+def folded(text: Column) -> Column:
+    """The text in folded case: lower case, and the letters that have several lower forms or stand for several as one form."""
+    low = F.lower(text)
+    one = F.translate(low, "".join(_ONE), "".join(_ONE.values()))
+    every = one
+    for c, f in _SEVERAL.items():
+        every = F.replace(every, F.lit(c), F.lit(f))
+    return F.when(low.rlike("^[\\x00-\\x7f]*$"), low).when(low.rlike("[" + "".join(_SEVERAL) + "]"), every).otherwise(one)
 
 
 def style_tokens(text: Column) -> Column:

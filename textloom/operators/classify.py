@@ -115,6 +115,18 @@ def cross_validated(df: DataFrame, features: list[str], label: str, k: int, dept
     return out
 
 
+def out_of_fold(df: DataFrame, features: list[str], label: str, k: int, c: float = 1.0) -> DataFrame:
+    """``df`` with ``score`` and ``predicted`` of a logistic model that hasn't seen the row's fold; ``df`` has ``fold``.
+
+    Rows with a null in a feature or the label are left out.
+    """
+    rows, out = df.dropna(subset=[label, *features]), None
+    for i in range(k):
+        part = logistic(rows.where(F.col("fold") != i), features, label, c).score(rows.where(F.col("fold") == i))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def tree_nodes(model) -> list[dict]:
     """The nodes of a fitted tree: feature, threshold, children, share of label 1 and weight reaching it."""
     nodes: list[dict] = []

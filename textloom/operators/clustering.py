@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.graph import MOST
+from textloom.plans.materialize import Workspace
 
 
 def distance_matrix(x: np.ndarray, metric: str = "euclidean") -> np.ndarray:
@@ -124,7 +125,7 @@ def relabelled(df: DataFrame, label: str, position: str) -> DataFrame:
     """``df`` with ``cluster``: labels renumbered from 0 by falling size, ties by the first position."""
     sizes = df.groupBy(label).agg(F.count("*").alias("_n"), F.min(position).alias("_first"))
     numbered = sizes.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("_n"), "_first")) - 1)
-    return df.join(F.broadcast(numbered.select(label, "cluster")), label)
+    return df.join(numbered.select(label, "cluster"), label)
 
 
 def mean_silhouette(d: np.ndarray, labels: np.ndarray) -> float:
@@ -159,6 +160,7 @@ def silhouettes(df: DataFrame, key: str, vector: str, label: str, dim: int, bloc
     rows = df.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(label).cast("int").alias("c"), F.col(vector).cast("array<double>").alias("v"))
     n = max(1, -(-rows.count() // block))
     sums = None
+    workspace = Workspace(df.sparkSession, "silhouettes")
     for i in range(n):
         held = rows.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i).collect()
         if not held:
@@ -178,7 +180,8 @@ def silhouettes(df: DataFrame, key: str, vector: str, label: str, dim: int, bloc
             for name, s in total.items():
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), name, np.int32)), pa.array(s)], names=["id", "other", "s"])
 
-        part = rows.mapInArrow(add, "id bigint, other int, s double")
+        part = workspace.cut(rows.mapInArrow(add, "id bigint, other int, s double").groupBy("id", "other").agg(F.sum("s").alias("s")))
+        shared.destroy()
         sums = part if sums is None else sums.unionByName(part)
     if sums is None:
         return rows.select(F.col("id").alias(key), F.col("c").alias(label), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("width"))
@@ -383,6 +386,7 @@ def distance_summary(df: DataFrame, key: str, vector: str, dim: int, width: floa
     rows = df.where(F.coalesce(F.size(vector) == dim, F.lit(False))).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     n = max(1, -(-rows.count() // block))
     parts = None
+    workspace = Workspace(df.sparkSession, "distances")
     for i in range(n):
         held = rows.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i).collect()
         if not held:
@@ -397,7 +401,8 @@ def distance_summary(df: DataFrame, key: str, vector: str, dim: int, width: floa
                 bins, at = np.unique(np.floor(np.round(d / width, 9)).astype(np.int64), return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(np.bincount(at, minlength=len(bins))), pa.array(np.bincount(at, weights=d, minlength=len(bins))), pa.array(np.bincount(at, weights=d * d, minlength=len(bins)))], names=["bin", "pairs", "s", "q"])
 
-        part = rows.mapInArrow(count, "bin bigint, pairs bigint, s double, q double")
+        part = workspace.cut(rows.mapInArrow(count, "bin bigint, pairs bigint, s double, q double"))
+        shared.destroy()
         parts = part if parts is None else parts.unionByName(part)
     if parts is None:
         return rows.select(F.col("id").alias("bin"), F.lit(0).cast("bigint").alias("pairs"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("stdev")).limit(0)

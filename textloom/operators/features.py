@@ -81,21 +81,39 @@ def as_json(df: DataFrame, key: str, text: str, tokens: str) -> DataFrame:
     return df.select(key, F.to_json(F.struct(F.col(key), F.col(text), F.col(tokens))).alias("document"))
 
 
-def counts(df: DataFrame, key: str, tokens: str, modes: list[int], low: int = 1, high: int = 3) -> DataFrame:
-    """``key, feature, n``: n-grams of the symbols of each mode, named ``ngram_mode``; empty symbols are dropped first."""
+def _named(tokens: str, modes: list[int], low: int, high: int) -> Column:
+    """The n-grams of a row's symbols in all modes, with their names."""
     def named(mode: int, tok: Column) -> Column:
         return F.transform(T.ngrams_between(symbols(tok, mode), low, high), lambda g: F.concat(g, F.lit(f"_{mode}")))
 
     def named_all(tok: Column) -> Column:
         return F.flatten(F.array(*[named(m, tok) for m in modes]))
 
-    each = T.bound(F.col(tokens), named_all)
-    return df.select(key, F.explode(each).alias("feature")).groupBy(key, "feature").agg(F.count("*").alias("n"))
+    return T.bound(F.col(tokens), named_all)
+
+
+def counts(df: DataFrame, key: str, tokens: str, modes: list[int], low: int = 1, high: int = 3) -> DataFrame:
+    """``key, feature, n``: n-grams of the symbols of each mode, named ``ngram_mode``; empty symbols are dropped first."""
+    return df.select(key, F.explode(_named(tokens, modes, low, high)).alias("feature")).groupBy(key, "feature").agg(F.count("*").alias("n"))
+
 
+def corpus_counts(df: DataFrame, tokens: str, modes: list[int], low: int = 1, high: int = 3, least_rows: int = 1) -> DataFrame:
+    """``feature, rows, n`` over all rows, as ``vocabulary`` of ``counts`` without the counts of each row.
 
-def vocabulary(long: DataFrame, key: str, least_share: float = 0.0, most_share: float = 1.0, least_rows: int = 1, most_features: int | None = None) -> DataFrame:
-    """``feature, rows, n``: features within shares of the rows; the most frequent ones if there is a limit, ties by name."""
-    total = long.select(key).distinct().agg(F.count("*").alias("all"))
+    A row's features are put in order, so that the first of equal ones can be
+    told and rows and occurrences are summed in one step, within the tasks first.
+    """
+    def marked(x: Column) -> Column:
+        return F.transform(x, lambda f, i: F.struct(f.alias("feature"), ((i == 0) | (f != F.get(x, i - 1))).cast("int").alias("first")))
+
+    each = df.select(F.explode(T.bound(F.sort_array(_named(tokens, modes, low, high)), marked)).alias("e"))
+    made = each.groupBy(F.col("e.feature").alias("feature")).agg(F.sum("e.first").alias("rows"), F.count("*").alias("n"))
+    return made.where(F.col("rows") >= least_rows)
+
+
+def vocabulary(long: DataFrame, rows: DataFrame, least_share: float = 0.0, most_share: float = 1.0, least_rows: int = 1, most_features: int | None = None) -> DataFrame:
+    """``feature, rows, n``: features within shares of all ``rows``, those without any feature too; the most frequent ones if there is a limit, ties by name."""
+    total = rows.agg(F.count("*").alias("all"))
     terms = long.groupBy("feature").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
     kept = terms.crossJoin(F.broadcast(total)).where((F.col("rows") >= least_rows) & (F.col("rows") >= least_share * F.col("all")) & (F.col("rows") <= most_share * F.col("all"))).drop("all")  # by one row
     return kept.orderBy(F.desc("n"), "feature").limit(most_features) if most_features else kept
@@ -104,3 +122,11 @@ def vocabulary(long: DataFrame, key: str, least_share: float = 0.0, most_share:
 def recount(long: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """The counts of a given vocabulary only; what a text lacks has no row."""
     return long.join(vocabulary.select("feature"), "feature", "left_semi")
+
+
+def frame_summary(long: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """One row: rows, rows with a feature, features, counts that aren't zero, and their share of rows times features."""
+    held = long.agg(F.countDistinct(key).alias("filled"), F.countDistinct("feature").alias("features"), F.count("*").alias("counts"))
+    whole = rows.agg(F.count("*").alias("rows"))
+    share = F.when(F.col("rows") * F.col("features") > 0, F.round(F.col("counts") / (F.col("rows") * F.col("features")), 9)).otherwise(0.0)
+    return whole.crossJoin(F.broadcast(held)).select("rows", "filled", "features", "counts", share.alias("density"))  # by one row

@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions import text as T
+from textloom.operators.stats import running_total
 
 def reusable(corpus: DataFrame, kept: DataFrame, key: str, text: str, digest: str) -> DataFrame:
-    """Kept rows whose key is in the corpus with a text of the same SHA-256."""
-    return kept.join(corpus.select(key, F.sha2(text, 256).alias("_now")), key).where(F.col(digest) == F.col("_now")).drop("_now")
+    """Kept rows whose key is in the corpus with a text of the same SHA-256, each once however often the corpus has it."""
+    now = corpus.select(F.col(key).alias("_key"), F.sha2(text, 256).alias("_now"))
+    return kept.join(now, (F.col(key) == F.col("_key")) & (F.col(digest) == F.col("_now")), "left_semi")
 
 
 def pending(corpus: DataFrame, kept: DataFrame, key: str, text: str, digest: str) -> DataFrame:
@@ -41,7 +44,7 @@ def to_annotate(rows: DataFrame, column: str, allowed: list, force: bool = False
 def batches(rows: DataFrame, key: str, size: int) -> DataFrame:
     """``rows`` with ``batch`` and ``index`` in it: groups of about ``size`` by a hash of the key, so that none has to be ordered as a whole."""
     n = F.lit(max(1, -(-rows.count() // size)))
-    numbered = rows.withColumn("batch", F.pmod(F.xxhash64(key), n).cast("int"))
+    numbered = rows.withColumn("batch", (F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint") % n).cast("int"))
     return numbered.withColumn("index", F.row_number().over(Window.partitionBy("batch").orderBy(key)) - 1)
 
 
@@ -94,8 +97,16 @@ def prepared(df: DataFrame, key: str, text: str, language: str, accepted: tuple[
 
 def chosen_representatives(df: DataFrame, key: str, probability: str, words: str, fraction: float, most_words: int) -> DataFrame:
     """Of the ``floor(n * fraction)`` rows of the highest probability those of at most ``most_words`` words."""
-    n = df.count()
-    return df.orderBy(F.desc(probability), key).limit(int(n * fraction)).where(F.col(words) <= most_words)
+    order = [F.desc(probability), F.asc(key)]
+    wanted = int(df.count() * fraction)
+    # the probability of the last row chosen, from a histogram; only rows of that probability are put in order
+    counts = df.groupBy(F.col(probability).alias("_p")).agg(F.count("*").alias("_n"))
+    upto = running_total(counts, "_p", "_n", descending=True)
+    last = F.broadcast(upto.where((F.col("_total") >= wanted) & (F.col("_total") - F.col("_n") < wanted)).select("_p", (F.lit(wanted) - F.col("_total") + F.col("_n")).alias("_left")))
+    above = df.join(last, F.col(probability) > F.col("_p")).drop("_p", "_left")
+    edge = df.join(last, F.col(probability) == F.col("_p")).withColumn("_place", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    chosen = above.unionByName(edge.where("_place <= _left").drop("_p", "_left", "_place"))
+    return chosen.where(F.col(words) <= most_words)
 
 
 def reduced_outliers(df: DataFrame, cluster: str, by_probability: str, by_similarity: str) -> DataFrame:
@@ -103,3 +114,16 @@ def reduced_outliers(df: DataFrame, cluster: str, by_probability: str, by_simila
     valid = (lambda c: F.when(F.col(c) >= 0, F.col(c)))
     method = F.when(valid(cluster).isNotNull(), "original_cluster").when(valid(by_probability).isNotNull(), "hdbscan_probability").when(valid(by_similarity).isNotNull(), "embedding_similarity")
     return df.withColumn("final", F.coalesce(valid(cluster), valid(by_probability), valid(by_similarity), F.lit(-1))).withColumn("method", method)
+
+
+def eligible(paragraphs: DataFrame, key: str, text: str, existing: DataFrame, group: str, least_words: int = 20) -> DataFrame:
+    """Paragraphs of at least ``least_words`` words that no existing row was made for; null keys are never eligible."""
+    rows = paragraphs.where(F.col(key).isNotNull() & (T.word_count(F.col(text)) >= least_words))
+    return rows.join(existing.select(F.col(group).alias(key)), key, "left_anti")
+
+
+def running_totals(df: DataFrame, batch: str, amount: str) -> DataFrame:
+    """``batch, n, total, n_so_far, total_so_far, mean_so_far``: what each batch brings and what there is after it."""
+    per = df.groupBy(batch).agg(F.count("*").alias("n"), F.coalesce(F.sum(amount), F.lit(0)).alias("total"))
+    upto = running_total(running_total(per, batch, "n").withColumnRenamed("_total", "n_so_far"), batch, "total").withColumnRenamed("_total", "total_so_far")
+    return upto.withColumn("mean_so_far", F.round(F.col("total_so_far") / F.col("n_so_far"), 6))

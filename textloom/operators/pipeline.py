@@ -31,7 +31,7 @@ class Annotated:
     def counted(self, modes: list[int], low: int = 1, high: int = 2, most: int = 30) -> Counted:
         """The counts of the ``most`` frequent n-grams; the rest would only widen the table."""
         long = features.counts(self.rows, self.loaded.key, "tokens", modes, low, high)
-        names = [r["feature"] for r in features.vocabulary(long, self.loaded.key, most_features=most).orderBy("feature").collect()]
+        names = [r["feature"] for r in features.vocabulary(long, self.rows, most_features=most).orderBy("feature").collect()]
         wide = long.groupBy(self.loaded.key).agg(*[F.coalesce(F.sum(F.when(F.col("feature") == n, F.col("n"))), F.lit(0)).alias(f"f{i}") for i, n in enumerate(names)])
         table = self.rows.select(self.loaded.key, self.loaded.label).join(wide, self.loaded.key, "left").fillna(0, [f"f{i}" for i in range(len(names))])
         return Counted(self, table, names)

@@ -44,7 +44,7 @@ def _matrix(blobs: list[bytes], dim: int) -> np.ndarray:
 
 
 def _blocks(queries: DataFrame, key: str) -> Iterator[list]:
-    """The rows of ``queries`` in blocks of about ``BLOCK``; each comes to the driver on its own."""
+    """The rows of ``queries`` in blocks of about ``BLOCK``; each comes to the driver on its own, when the one before is done with."""
     n = max(1, -(-queries.count() // BLOCK))
     for i in range(n):
         rows = queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == i).collect()
@@ -84,7 +84,8 @@ def rank_expected(queries: DataFrame, corpus: DataFrame, dim: int) -> DataFrame:
 
         made = corpus.select("pos", "unit").mapInArrow(count, "i int, ahead bigint").groupBy("i").agg(F.sum("ahead").alias("ahead"))
         names = queries.sparkSession.createDataFrame([(i, r["query_id"], r["target"], float(s)) for i, (r, s) in enumerate(zip(rows, own.tolist(), strict=True))], asked.select(F.lit(0).alias("i"), "query_id", "target", F.lit(0.0).alias("cosine_similarity")).schema)
-        part = names.join(made, "i").select("query_id", "target", (F.col("ahead") + 1).alias("rank"), "cosine_similarity")
+        part = workspace.cut(names.join(made, "i").select("query_id", "target", (F.col("ahead") + 1).alias("rank"), "cosine_similarity"))
+        shared.destroy()
         counted = part if counted is None else counted.unionByName(part)
     if counted is None:
         return asked.select("query_id", "target", F.lit(1).cast("bigint").alias("rank"), F.lit(0.0).alias("cosine_similarity"))
@@ -100,6 +101,8 @@ def nearest_to(queries: DataFrame, rows: DataFrame, dim: int, k: int, metric: st
     that ``k`` rows per query and task are all that is shuffled.
     """
     parts = None
+    workspace = Workspace(rows.sparkSession, "nearest")
+    order = Window.partitionBy("src").orderBy("distance", "dst")
     for held in _blocks(queries.select("id", "vec"), "id"):
         shared = rows.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in held], np.int64), _matrix([bytes(r["vec"]) for r in held], dim)))
 
@@ -124,11 +127,12 @@ def nearest_to(queries: DataFrame, rows: DataFrame, dim: int, k: int, metric: st
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i : i + 256], keep.sum(1))), pa.array(there[order[keep]]), pa.array(value[keep])], names=["src", "dst", "distance"])
 
         part = rows.select(F.col("id").cast("bigint").alias("id"), "vec").mapInArrow(closest, "src bigint, dst bigint, distance double")
+        part = workspace.cut(part.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k))
+        shared.destroy()
         parts = part if parts is None else parts.unionByName(part)
     if parts is None:
         return rows.sparkSession.createDataFrame([], "src bigint, dst bigint, distance double, place int")
-    order = Window.partitionBy("src").orderBy("distance", "dst")
-    return parts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return parts
 
 
 def _first(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:

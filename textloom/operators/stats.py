@@ -22,12 +22,27 @@ def nearest_rank(values: DataFrame, value: str, shares: Iterable[int]) -> DataFr
     nothing but a histogram is ordered.
     """
     histogram = values.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    upto = histogram.withColumn("upto", F.sum("n").over(Window.orderBy("v"))).withColumn("all", F.sum("n").over(Window.partitionBy()))
+    whole = histogram.agg(F.sum("n").alias("all"))
+    upto = running_total(histogram, "v", "n").withColumnRenamed("_total", "upto").crossJoin(F.broadcast(whole))  # by one row
     at = F.explode(F.array(*[F.lit(s) for s in shares])).alias("share")
     wanted = upto.select("v", "n", "upto", "all", at).withColumn("k", F.least(F.col("all"), F.greatest(F.lit(1), F.expr("bround(share / 100D * all + 0.5D, 0)").cast("bigint"))))
     return wanted.where((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("n") < F.col("k"))).select("share", F.col("v").alias("value"))
 
 
+def running_total(df: DataFrame, order: str, amount: str, descending: bool = False, ranges: int = 64) -> DataFrame:
+    """``df`` with ``_total``, the sum of ``amount`` up to and with the row; ``order`` is unique and not null.
+
+    Rows are sorted in ranges, each summed on its own; the ranges' sums, one row
+    each, are added up and joined back, so no task holds all rows.
+    """
+    by = F.desc(order) if descending else F.asc(order)
+    parts = df.repartitionByRange(ranges, by).withColumn("_range", F.spark_partition_id())
+    sums = parts.groupBy("_range").agg(F.sum(amount).alias("_sum"))
+    before = sums.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_before"))  # a row per range
+    inside = F.sum(amount).over(Window.partitionBy("_range").orderBy(by))
+    return parts.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn("_total", F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
+
+
 def describe(values: DataFrame, value: str) -> DataFrame:
     """One row: count, min, quartiles by nearest rank, median, mean, max and sample deviation (0 for one value)."""
     x = F.col(value)
@@ -150,12 +165,15 @@ def openings(tokens: DataFrame, token_column: str, label: str, lengths: Iterable
     return counts.where(100.0 * F.col("hard") / (F.col("hard") + F.col("easy")) > least_percent)
 
 
-def leak_reasons(queries: DataFrame, text: str, source_text: str, rare: DataFrame, key: str, longest: int = 35, shared: int = 3) -> DataFrame:
-    """``key, reason``: why a query gives its source away (too long, a rare word, too many shared words); null if it doesn't."""
-    rows = queries.select(key, T.word_count(F.col(text)).alias("words"), F.array_intersect(T.topic_words(F.col(text)), T.topic_words(F.col(source_text))).alias("common"))
-    hit = rows.select(key, F.explode("common").alias("term")).join(rare.select("term"), "term", "left_semi").select(key).distinct().withColumn("rare", F.lit(True))
-    reason = F.when(F.col("words") > longest, "long").when(F.col("rare"), "rare word").when(F.size("common") > shared, "shared words")
-    return rows.join(hit, key, "left").select(key, reason.alias("reason"))
+def leak_reasons(queries: DataFrame, text: str, source_words: str, rare: DataFrame, key: str, longest: int = 35, shared: int = 3) -> DataFrame:
+    """``key, reason``: why a query gives its source away (too long, a rare word, too many shared words); null if it doesn't.
+
+    ``source_words`` are the topic words of the source, worked out once for all its queries; ``key`` is unique.
+    """
+    rows = queries.select(key, T.word_count(F.col(text)).alias("words"), F.explode_outer(F.array_intersect(T.topic_words(F.col(text)), source_words)).alias("term"))
+    held = rows.join(rare.select("term", F.lit(True).alias("_rare")), "term", "left").groupBy(key).agg(F.max("words").alias("words"), F.count("term").alias("common"), F.max("_rare").alias("rare"))
+    reason = F.when(F.col("words") > longest, "long").when(F.col("rare"), "rare word").when(F.col("common") > shared, "shared words")
+    return held.select(key, reason.alias("reason"))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import arrays as A
 from textloom.functions import text as T
-from textloom.functions.lexicons import FORM_WORDS, ID_SUFFIXES, LEXICONS, QUERY_STOPWORDS, TOPIC_STOPWORDS
+from textloom.functions.lexicons import COMMON_WORDS, FORM_WORDS, ID_SUFFIXES, LEXICONS, QUERY_STOPWORDS, TOPIC_STOPWORDS
 from textloom.operators import classify, clustering, features, graph, incremental, manifold, providers, ranking, sampling, stats, stylometry, validation
 from textloom.operators import tests_of_association as association
 from textloom.plans.materialize import Workspace
@@ -69,7 +69,7 @@ def text_ascii_terms(spark, folder):
     return stats.occurrences(_query_tokens(spark, folder), "tok")
 
 
-@query(f"SELECT term, count(*) AS n FROM (SELECT unnest({_UNICODE.format('text')}) AS term FROM documents) GROUP BY term")
+@query(f"SELECT term, count(*) AS n FROM (SELECT replace(translate(unnest({_UNICODE.format('text')}), 'ςſµ', 'σsμ'), 'ß', 'ss') AS term FROM documents) GROUP BY term")
 def text_unicode_terms(spark, folder):
     return stats.occurrences(_t(spark, folder, "documents").select(T.unicode_tokens(F.col("text")).alias("tok")), "tok")
 
@@ -198,9 +198,11 @@ def filter_hover_text(spark, folder):
     return _t(spark, folder, "query_record").select("row_id", F.coalesce(F.nullif(F.trim("query"), F.lit("")), F.nullif("id", F.lit("")), F.concat(F.lit("Point "), "row_id")).alias("hover"))
 
 
-@query("SELECT row_id, 'query_' || lpad(CAST(row_id AS VARCHAR), 8, '0') AS name FROM embedded_query")
+@query("SELECT row_id, 'query_' || lpad(CAST(row_id AS VARCHAR), CAST((SELECT greatest(5, max(length(CAST(row_id AS VARCHAR)))) FROM embedded_query) AS INT), '0') AS name FROM embedded_query")
 def filter_padded_names(spark, folder):
-    return _t(spark, folder, "embedded_query").select("row_id", F.concat(F.lit("query_"), F.lpad(F.col("row_id").cast("string"), 8, "0")).alias("name"))
+    rows = _t(spark, folder, "embedded_query").select("row_id", F.col("row_id").cast("string").alias("s"))
+    width = rows.agg(F.greatest(F.lit(5), F.max(F.length("s"))).alias("w"))
+    return rows.crossJoin(F.broadcast(width)).select("row_id", F.expr("concat('query_', lpad(s, w, '0'))").alias("name"))  # by one row
 
 
 @query("SELECT row_id, CASE WHEN rank > 60 THEN 2 WHEN rank > 1 THEN 1 ELSE 0 END AS query_type, CAST(coalesce(rank, 0) > 60 AS DOUBLE) AS qt2, CAST(coalesce(rank, 0) BETWEEN 2 AND 60 AS DOUBLE) AS qt1, CAST(coalesce(rank, 0) <= 1 AS DOUBLE) AS qt0 FROM ranking_result")
@@ -318,9 +320,9 @@ _PAIRS = "p AS (SELECT q.row_id, q.query, c.text FROM query_record q JOIN (SELEC
 
 @query(f"WITH {_PAIRS}, rare AS (SELECT term FROM {_TOPIC.format('text', 'corpus_record')} GROUP BY term HAVING count(*) <= 10), a AS {_TOPIC.format('query', 'p')}, b AS {_TOPIC.format('text', 'p')}, s AS (SELECT a.row_id, count(*) AS common, count(rare.term) AS rare FROM a JOIN b ON a.row_id = b.row_id AND a.term = b.term LEFT JOIN rare ON rare.term = a.term GROUP BY a.row_id) SELECT p.row_id, CASE WHEN {_WORDS.format('query')} > 35 THEN 'long' WHEN rare > 0 THEN 'rare word' WHEN common > 3 THEN 'shared words' END AS reason FROM p LEFT JOIN s USING (row_id)")
 def agg_leak_reasons(spark, folder):
-    first = _t(spark, folder, "corpus_record").where("text is not null").groupBy("id").agg(F.min_by("text", "row_id").alias("text"))
+    first = _t(spark, folder, "corpus_record").where("text is not null").groupBy("id").agg(F.min_by("text", "row_id").alias("text")).select("id", T.topic_words(F.col("text")).alias("theirs"))
     pairs = _t(spark, folder, "query_record").where("query is not null").select("row_id", "query", "paragraph_id").join(first, F.col("paragraph_id") == F.col("id"))
-    return stats.leak_reasons(pairs, "query", "text", _rare_topics(spark, folder), "row_id")
+    return stats.leak_reasons(pairs, "query", "theirs", _rare_topics(spark, folder), "row_id")
 
 
 @query(f"WITH {_LAB}, c AS (SELECT label, count(*) AS n FROM lab GROUP BY label) SELECT label, n, round(sum(n) OVER () / (count(*) OVER () * n), 9) AS weight FROM c")
@@ -342,9 +344,24 @@ def agg_per_paragraph(spark, folder):
 # ---- top, windows, samples, sets
 
 
-@query(f"WITH {_Q} SELECT term, n, CAST(row_number() OVER (ORDER BY n DESC, term) AS INT) AS place FROM (SELECT term, count(*) AS n FROM (SELECT unnest(tok) AS term FROM q) GROUP BY term) ORDER BY n DESC, term LIMIT 25")
+@query(f"WITH {_Q} SELECT term, n, CAST(row_number() OVER (ORDER BY n DESC, f) AS INT) AS place FROM (SELECT term, count(*) AS n, min(row_id * 1000000 + p) AS f FROM (SELECT row_id, unnest(tok) AS term, generate_subscripts(tok, 1) AS p FROM q) GROUP BY term) ORDER BY n DESC, f LIMIT 25")
 def top_terms(spark, folder):
-    return stats.top(stats.occurrences(_query_tokens(spark, folder), "tok"), 25)
+    """The most frequent terms, ties by their first occurrence."""
+    terms = _query_tokens(spark, folder).select("row_id", F.posexplode("tok").alias("p", "term"))
+    counts = terms.groupBy("term").agg(F.count("*").alias("n"), F.min(F.struct("row_id", "p")).alias("first"))
+    return stats.top(counts, 25, order=[F.asc("first")]).select("term", "n", "place")
+
+
+@query(f"WITH w AS (SELECT DISTINCT row_id, term FROM (SELECT row_id, replace(translate(unnest({_UNICODE.format('query')}), 'ςſµ', 'σsμ'), 'ß', 'ss') AS term FROM query_record)) SELECT term, count(*) AS n FROM w WHERE NOT list_contains({_quoted(COMMON_WORDS)}, term) GROUP BY term ORDER BY n DESC, term LIMIT 30")
+def top_words_by_records(spark, folder):
+    """The 30 words in most records, without those that are common anywhere."""
+    words = _t(spark, folder, "query_record").select(T.content_words(T.unicode_tokens(F.col("query")), COMMON_WORDS).alias("w"))
+    return stats.top(stats.record_frequency(words, "w"), 30).select("term", "n")
+
+
+@query(f"WITH {_Q} SELECT term, count(*) AS n FROM (SELECT DISTINCT row_id, term FROM (SELECT row_id, unnest({_BIGRAMS}) AS term FROM q)) WHERE term <> 'a text' GROUP BY term ORDER BY n DESC, term LIMIT 30")
+def top_phrases_by_records(spark, folder):
+    return stats.top(text_phrases(spark, folder), 30).select("term", "n")
 
 
 @query("SELECT row_id, query_id, rank FROM ranking_result WHERE rank IS NOT NULL ORDER BY rank DESC, row_id LIMIT 20")
@@ -368,7 +385,7 @@ def win_continued_numbers(spark, folder):
 _HARD = "h AS (SELECT regexp_extract(id, '^(.+)_hard([1-9][0-9]*)$', 1) AS base, CAST(regexp_extract(id, '^(.+)_hard([1-9][0-9]*)$', 2) AS INT) AS number FROM query_record WHERE regexp_matches(id, '^(.+)_hard([1-9][0-9]*)$'))"
 
 
-@query(f"WITH {_HARD} SELECT base, CAST(g AS INT) AS number FROM (SELECT DISTINCT base FROM h), (SELECT unnest([1, 2, 3, 4]) AS g) WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.base = base AND false) AND (base, g) NOT IN (SELECT (base, number) FROM h)")
+@query(f"WITH {_HARD} SELECT base, CAST(g AS INT) AS number FROM (SELECT DISTINCT base FROM h), (SELECT unnest([1, 2, 3, 4]) AS g) WHERE (base, g) NOT IN (SELECT (base, number) FROM h)")
 def win_missing_numbers(spark, folder):
     return sampling.missing_numbers(filter_hard_number(spark, folder), "base", "number", 4)
 
@@ -439,7 +456,7 @@ def join_skipped_by_source(spark, folder):
     return left.groupBy("source").agg(F.count("*").alias("skipped"))
 
 
-@query("SELECT e.vec_id FROM corpus_embedding e JOIN corpus_record c ON e.id = c.id AND e.text_sha256 = sha256(c.text)")
+@query("SELECT vec_id FROM corpus_embedding e WHERE EXISTS (SELECT 1 FROM corpus_record c WHERE e.id = c.id AND e.text_sha256 = sha256(c.text))")
 def inc_reusable(spark, folder):
     return incremental.reusable(_t(spark, folder, "corpus_record").select("id", "text"), _t(spark, folder, "corpus_embedding").select("vec_id", "id", "text_sha256"), "id", "text", "text_sha256").select("vec_id")
 
@@ -459,9 +476,23 @@ def inc_prepared(spark, folder):
     return incremental.prepared(_t(spark, folder, "documents").select("doc_id", "text", "lang"), "doc_id", "text", "lang").select("doc_id")
 
 
-@query()
+@query("WITH q AS (SELECT row_id, query, CAST('0x' || substr(md5(CAST(row_id AS VARCHAR)), 1, 8) AS BIGINT) % (SELECT greatest(1, CAST(ceil(count(*) / 50.0) AS BIGINT)) FROM query_record WHERE query IS NOT NULL) AS b FROM query_record WHERE query IS NOT NULL) SELECT CAST(b AS INT) AS batch, CAST(row_number() OVER (PARTITION BY b ORDER BY row_id) - 1 AS INT) AS index, query FROM q")
 def inc_requests(spark, folder):
-    return incremental.as_requests(incremental.batches(_t(spark, folder, "query_record").where("query is not null").select("row_id", "query"), "row_id", 50), "query")
+    """The items of every request, read back from its JSON."""
+    rows = _t(spark, folder, "query_record").where("query is not null").select("row_id", "query")
+    sent = incremental.as_requests(incremental.batches(rows, "row_id", 50), "query")
+    return sent.select("batch", F.explode(F.from_json("request", "array<struct<index:int,query:string>>")).alias("r")).select("batch", "r.index", "r.query")
+
+
+@query(f"SELECT id FROM corpus_record c WHERE id IS NOT NULL AND {_WORDS.format('text')} >= 20 AND NOT EXISTS (SELECT 1 FROM query_record q WHERE q.paragraph_id = c.id)")
+def inc_eligible(spark, folder):
+    return incremental.eligible(_t(spark, folder, "corpus_record"), "id", "text", _t(spark, folder, "query_record"), "paragraph_id").select("id")
+
+
+@query("WITH b AS (SELECT CAST(loaded_at AS DATE) AS day, count(*) AS n, CAST(coalesce(sum(length(query)), 0) AS BIGINT) AS total FROM query_record WHERE loaded_at IS NOT NULL GROUP BY 1), s AS (SELECT day, n, total, CAST(sum(n) OVER w AS BIGINT) AS n_so_far, CAST(sum(total) OVER w AS BIGINT) AS total_so_far FROM b WINDOW w AS (ORDER BY day)) SELECT *, round(total_so_far / n_so_far, 6) AS mean_so_far FROM s")
+def agg_running_totals(spark, folder):
+    rows = _t(spark, folder, "query_record").where("loaded_at is not null").select(F.to_date("loaded_at").alias("day"), F.length("query").alias("chars"))
+    return incremental.running_totals(rows, "day", "chars")
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
@@ -474,15 +505,15 @@ def inc_hashed_embedding(spark, folder):
     return providers.called(_t(spark, folder, "corpus_record"), "row_id", "text", providers.HashedWords(64), "embedding", "array<double>")
 
 
-@query()
+@query("SELECT id, text_sha256, len(embedding) AS dim, false AS made FROM corpus_embedding e WHERE EXISTS (SELECT 1 FROM corpus_record c WHERE e.id = c.id AND e.text_sha256 = sha256(c.text)) UNION ALL SELECT id, sha256(text), 64, true FROM corpus_record c WHERE text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM corpus_embedding e WHERE e.id = c.id AND e.text_sha256 = sha256(c.text))")
 def inc_materialised(spark, folder):
-    corpus, kept = _t(spark, folder, "corpus_record").select("row_id", "id", "text"), _t(spark, folder, "corpus_embedding").select("id", "text_sha256", F.col("embedding").cast("array<double>").alias("embedding"))
+    corpus, kept = _t(spark, folder, "corpus_record").select("row_id", "id", "text"), _t(spark, folder, "corpus_embedding").select("id", "text_sha256", F.size("embedding").cast("bigint").alias("dim"), F.lit(False).alias("made"))
 
     def compute(rows: DataFrame) -> DataFrame:
         made = providers.called(rows, "row_id", "text", providers.HashedWords(64), "embedding", "array<double>")
-        return rows.join(made, "row_id").select("id", F.sha2("text", 256).alias("text_sha256"), "embedding")
+        return rows.join(made, "row_id").select("id", F.sha2("text", 256).alias("text_sha256"), F.size("embedding").cast("bigint").alias("dim"), F.lit(True).alias("made"))
 
-    return incremental.materialise(corpus.drop("row_id").withColumn("row_id", F.xxhash64("id", "text")), kept, "id", "text", "text_sha256", compute).select("id", "text_sha256", "embedding")
+    return incremental.materialise(corpus, kept, "id", "text", "text_sha256", compute).select("id", "text_sha256", "dim", "made")
 
 
 # ---- checks
@@ -568,14 +599,15 @@ r AS (SELECT query_id, target, 1 + count_if(s > own OR (s = own AND pos < own_po
 
 
 @query(_RANKS + "SELECT * FROM r")
-def rank_expected(spark, folder):
+def rank_expected_20th(spark, folder):
     queries, corpus = _rank_inputs(spark, folder)
     return ranking.rank_expected(queries, corpus, 64).withColumn("cosine_similarity", F.round("cosine_similarity", 6))
 
 
 @query(_RANKS + "SELECT count(*) AS queries, round(avg(rank), 6) AS mean_rank, median(rank) AS median_rank, round(avg(1.0 / rank), 6) AS mrr, round(avg(CAST(rank <= 1 AS INT)), 6) AS recall_1, round(avg(CAST(rank <= 5 AS INT)), 6) AS recall_5, round(avg(CAST(rank <= 10 AS INT)), 6) AS recall_10 FROM r")
-def rank_report(spark, folder):
-    return stats.rank_metrics(rank_expected(spark, folder), "rank")
+def rank_report_20th(spark, folder):
+    """Measures of the ranks asked for: one query in twenty, against all vectors of a model."""
+    return stats.rank_metrics(rank_expected_20th(spark, folder), "rank")
 
 
 def _packed(spark, folder, condition: str = "true") -> DataFrame:
@@ -748,16 +780,31 @@ def _annotated(spark, folder) -> DataFrame:
     return features.annotate(_t(spark, folder, "query_record").select("row_id", "query"), "query")
 
 
-@query()
+_PAIR_OF = "CASE WHEN len(sym) >= 2 THEN list_transform(range(1, len(sym)), lambda i: sym[i] || ' ' || sym[i + 1]) ELSE [] END"
+_FEATURES = """WITH t AS (SELECT row_id, regexp_extract_all(coalesce(query, ''), '[\\p{L}\\p{N}]+(?:[''’\\-][\\p{L}\\p{N}]+)*|[^\\s\\p{L}\\p{N}]') AS tok FROM query_record),
+a AS (SELECT row_id, list_transform(tok, lambda w, i: {'w': lower(w), 'punct': NOT regexp_matches(w, '[\\p{L}\\p{N}]'), 'pos': CASE WHEN NOT regexp_matches(w, '[\\p{L}\\p{N}]') THEN 'PUNCT' WHEN regexp_matches(w, '^[0-9]+([.,''’\\-][0-9]+)*$') THEN 'NUM' WHEN i > 1 AND regexp_matches(w, '^\\p{Lu}\\p{Ll}') THEN 'PROPN' ELSE 'X' END, 'dep': CASE WHEN i = 1 THEN 'root' ELSE 'dep' END}) AS tok FROM t),
+s AS (SELECT row_id, '_10' AS mode, list_transform(list_filter(tok, lambda x: NOT x.punct), lambda x: x.w) AS sym FROM a UNION ALL SELECT row_id, '_30', list_transform(tok, lambda x: x.pos) FROM a UNION ALL SELECT row_id, '_40', list_transform(list_filter(tok, lambda x: NOT x.punct), lambda x: x.dep) FROM a),
+g AS (SELECT row_id, mode, unnest(list_concat(sym, """ + _PAIR_OF + """)) AS gram FROM s)
+"""
+
+
+@query(_FEATURES + "SELECT gram || mode AS feature, count(DISTINCT row_id) AS rows, count(*) AS n FROM g GROUP BY 1")
 def feat_counts(spark, folder):
-    long = features.counts(_annotated(spark, folder), "row_id", "tokens", [10, 30, 40], 1, 2)
-    return features.vocabulary(long, "row_id", least_rows=2)
+    """Features of words, parts of speech and dependencies, one or two symbols long, rare ones too."""
+    return features.corpus_counts(_annotated(spark, folder), "tokens", [10, 30, 40], 1, 2)
 
 
-@query()
+@query(_FEATURES.replace("list_concat(sym, " + _PAIR_OF + ")", "sym") + ", c AS (SELECT gram || mode AS feature, count(DISTINCT row_id) AS rows, count(*) AS n FROM g WHERE mode = '_10' GROUP BY 1) SELECT feature, rows, n, regexp_replace(replace(feature, '=', ':'), '_[0-9]+$', '') AS label FROM c WHERE rows >= 2 ORDER BY n DESC, feature LIMIT 500")
 def feat_vocabulary(spark, folder):
-    long = features.counts(_annotated(spark, folder), "row_id", "tokens", [10], 1, 1)
-    return features.vocabulary(long, "row_id", least_rows=2, most_features=500).withColumn("label", T.feature_label(F.col("feature")))
+    rows = _annotated(spark, folder)
+    long = features.counts(rows, "row_id", "tokens", [10], 1, 1)
+    return features.vocabulary(long, rows, least_rows=2, most_features=500).withColumn("label", T.feature_label(F.col("feature")))
+
+
+@query(_FEATURES.replace("list_concat(sym, " + _PAIR_OF + ")", "sym") + ", c AS (SELECT row_id, gram || mode AS feature FROM g WHERE mode = '_10' GROUP BY ALL), r AS (SELECT count(*) AS rows FROM query_record), h AS (SELECT count(DISTINCT row_id) AS filled, count(DISTINCT feature) AS features, count(*) AS counts FROM c) SELECT rows, filled, features, counts, round(counts / (rows * features), 9) AS density FROM r, h")
+def feat_summary(spark, folder):
+    rows = _annotated(spark, folder)
+    return features.frame_summary(features.counts(rows, "row_id", "tokens", [10], 1, 1), rows, "row_id")
 
 
 _WORD10 = "w AS (SELECT row_id, lower(unnest(regexp_extract_all(coalesce(query, ''), '[\\p{L}\\p{N}]+(?:[''’\\-][\\p{L}\\p{N}]+)*'))) AS word FROM query_record)"
@@ -765,8 +812,9 @@ _WORD10 = "w AS (SELECT row_id, lower(unnest(regexp_extract_all(coalesce(query,
 
 @query(f"WITH {_WORD10} SELECT row_id, word || '_10' AS feature, count(*) AS n FROM w WHERE word IN (SELECT word FROM w GROUP BY word ORDER BY count(*) DESC, word || '_10' LIMIT 50) GROUP BY 1, 2")
 def feat_recount(spark, folder):
-    long = features.counts(_annotated(spark, folder), "row_id", "tokens", [10], 1, 1)
-    return features.recount(long, features.vocabulary(long, "row_id", most_features=50))
+    rows = _annotated(spark, folder)
+    long = features.counts(rows, "row_id", "tokens", [10], 1, 1)
+    return features.recount(long, features.vocabulary(long, rows, most_features=50))
 
 
 def _flagged(spark, folder) -> DataFrame:
@@ -812,7 +860,13 @@ def ml_scored(spark, folder):
 
 @query()
 def ml_cross_validated(spark, folder):
-    return classify.cross_validated(sampling.folds(_flagged(spark, folder), "row_id", "label", 3), _INPUTS, "label", 3)
+    return classify.cross_validated(sampling.folds(_flagged(spark, folder), "row_id", "label", 10), _INPUTS, "label", 10)
+
+
+@query()
+def ml_out_of_fold(spark, folder):
+    rows = sampling.folds(_flagged(spark, folder), "row_id", "label", 5)
+    return classify.out_of_fold(rows, _INPUTS, "label", 5).select("row_id", "label", "fold", F.round("score", 6).alias("score"), "predicted")
 
 
 @query()
@@ -900,10 +954,11 @@ def cluster_distance_summary(spark, folder):
     return clustering.distance_summary(_t(spark, folder, "embeddings"), "vec_id", "embedding", 64)
 
 
-@query()
+@query("WITH r AS (SELECT row_id, rank % 10 AS cluster, query, coalesce(cosine_similarity, 0) AS p FROM ranking_result WHERE rank IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY p DESC, row_id) AS place, count(*) OVER (PARTITION BY cluster) AS size FROM r) SELECT cluster, size, CAST(place AS INT) AS place, query FROM o WHERE place <= 6")
 def cluster_by_id(spark, folder):
     rows = _t(spark, folder, "ranking_result").where("rank is not null").select("row_id", (F.col("rank") % 10).alias("cluster"), "query", F.col("cosine_similarity").alias("p"))
-    return clustering.by_cluster(rows, "cluster", "row_id", "query", "p")
+    made = clustering.by_cluster(rows, "cluster", "row_id", "query", "p")
+    return made.select("cluster", "size", F.posexplode("examples").alias("place", "query")).withColumn("place", F.col("place") + 1)
 
 
 @query()
@@ -918,6 +973,9 @@ def agg_shown_odds(spark, folder):
     return agg_lexicon_odds(spark, folder).select("lexicon", T.shown_odds(F.col("odds_ratio")).alias("shown"))
 
 
-@query()
+@query(_FEATURES.split(",\ns AS")[0] + " SELECT row_id, CAST(len(tok) AS INT) AS tokens, array_to_string(list_transform(tok, lambda x: x.w || '/' || x.pos), ' ') AS shown FROM a")
 def feat_json(spark, folder):
-    return features.as_json(_annotated(spark, folder), "row_id", "query", "tokens")
+    """What the documents say of their tokens, read back from the JSON."""
+    documents = features.as_json(_annotated(spark, folder), "row_id", "query", "tokens")
+    held = documents.select("row_id", F.from_json("document", f"tokens {features.TOKEN}")["tokens"].alias("t"))
+    return held.select("row_id", F.size("t").alias("tokens"), F.array_join(F.transform("t", lambda x: F.concat(x["lower"], F.lit("/"), x["pos"])), " ").alias("shown"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,10 +84,16 @@ def append_lines(df: DataFrame, path: str) -> None:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes a folder anew; the rows appear when all are written, and the folder must not be one that ``df`` reads."""
+    """Writes a folder anew, beside the old one, which is replaced when all rows are written; the folder must not be one that ``df`` reads."""
     if any(path.rstrip("/") in f for f in df.inputFiles()):
         raise ValueError("a table can't be replaced by rows read from it")
-    df.write.mode("overwrite").parquet(path)
+    spark, new = df.sparkSession, f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    df.write.parquet(new)
+    there, beside = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, new))
+    files = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(there, True)
+    if not files.rename(beside, there):
+        raise OSError(f"{new} can't be renamed")
 
 
 def retrieval_report(ranks: DataFrame, source: str, rank: str, threshold: int = 60) -> DataFrame:
@@ -94,4 +102,4 @@ def retrieval_report(ranks: DataFrame, source: str, rank: str, threshold: int =
     one = ranks.where(r.isNotNull()).agg(F.count("*").alias("queries"), F.avg(1 / r).alias("mrr"), F.count_if(r > threshold).alias("above"))
     by = ranks.where(r.isNotNull()).groupBy(source).agg(F.count("*").alias("queries"), F.avg(1 / r).alias("mrr"))
     nested = by.agg(F.sort_array(F.collect_list(F.struct(source, "queries", "mrr"))).alias("by_source"))  # a row per source
-    return one.crossJoin(nested).select(F.struct("queries", "mrr").alias("overall"), F.struct(F.lit(threshold).alias("threshold"), F.col("above").alias("count")).alias("failures"), "by_source")
+    return one.crossJoin(F.broadcast(nested)).select(F.struct("queries", "mrr").alias("overall"), F.struct(F.lit(threshold).alias("threshold"), F.col("above").alias("count")).alias("failures"), "by_source")
