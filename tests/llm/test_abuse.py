@@ -78,10 +78,11 @@ def test_tables(spark):
 def test_misspelt_abuse_needs_the_automata(monkeypatch):
     model = abuse.learn([(t, y) for t, y, _ in sample(400)])
     plants = ["I hope you chokke on your oak, you morron.", "I hope you ch0ke on your elm, you mor*n.", "ash are vermen and should be drivven out.", "free p0rn from fir, hardcorre.", "oak are v3rmin and should be driven oout."]
-    read = lambda: [model.score(model.reader(), t)[0] >= model.threshold for t in plants]
-    with_automata = sum(read())
+    read = lambda: [model.score(model.reader(), t)[0] for t in plants]
+    found = read()
     monkeypatch.setattr(abuse.Automaton, "search", lambda self, trie: None)
-    assert with_automata >= 4 and sum(read()) <= with_automata - 2
+    lost = read()
+    assert min(found) >= model.threshold and all(a - b > 3 for a, b in zip(found, lost, strict=True))
 
 
 def test_runs_of_letters_are_cut_into_words():
@@ -91,3 +92,12 @@ def test_runs_of_letters_are_cut_into_words():
     assert "moron" in read("g m o r o n f")
     assert {"you", "moron"} <= set(read("suchyouaremoron"))
     assert read("incomprehensibilities") == ["?"]
+
+
+def test_words_told_apart_before_are_those_the_automata_refuse():
+    random.seed(3)
+    reader = abuse.Reader({"".join(random.choice("abcd") for _ in range(random.randint(3, 8))) for _ in range(80)})
+    for _ in range(500):
+        w = "".join(random.choice("abcde@1*") if random.random() < 0.2 else random.choice("abcde") for _ in range(random.randint(3, 9)))
+        for k in (0, 1, 2):
+            assert reader._within(w, k) == abuse.Automaton(w, k).search(reader.trie), (w, k)

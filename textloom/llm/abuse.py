@@ -161,6 +161,15 @@ class Automaton:
         return best[1] if best else None
 
 
+def _letters(word: str) -> int:
+    """The letters of a word as bits; signs, which may stand for any, leave none."""
+    bits = 0
+    for c in word:
+        if c.isalpha():
+            bits |= 1 << (ord(c) & 63)
+    return bits
+
+
 class Reader:
     """Words to lexicon entries, with those looked up before kept, up to ``keep`` of them."""
 
@@ -168,8 +177,10 @@ class Reader:
         self.entries = set(entries)
         self.common = set(common) - self.entries
         self.trie = Trie(sorted(self.entries))
-        self.heads = {e[:i] for e in self.entries for i in range(len(e) + 1)}
-        self.tails = {e[i:] for e in self.entries for i in range(len(e) + 1)}
+        self.shorter = self.entries | {e[:i] + e[i + 1 :] for e in self.entries for i in range(len(e))}
+        self.letters: dict[int, set[int]] = {}
+        for e in self.entries:
+            self.letters.setdefault(len(e), set()).add(_letters(e))
         self.keep = keep
         self.known: dict[str, str] = {}
         self.parts: dict[str, list[str]] = {}
@@ -185,12 +196,21 @@ class Reader:
             got = self.known[w] = self._look(w)
         return got
 
-    def _once(self, w: str) -> str | None:
-        """The entry within one edit; the edit leaves one half of the word as it is, which most words have in no entry."""
-        half = len(w) // 2
-        if w.isalpha() and w[:half] not in self.heads and w[half:] not in self.tails:
-            return None
-        return Automaton(w, 1).search(self.trie)
+    def _within(self, w: str, edits: int) -> str | None:
+        """The entry within so many edits, by the automaton of the word over the trie.
+
+        Most words are told apart from all entries before: one edit leaves them and
+        an entry a common form with one letter less at most, and every letter
+        that an entry lacks takes an edit of its own.
+        """
+        if edits == 1 and w.isalpha():
+            if w not in self.shorter and not any(w[:i] + w[i + 1 :] in self.shorter for i in range(len(w))):
+                return None
+        else:
+            own = _letters(w)
+            if not any((own & ~x).bit_count() <= edits for n in range(len(w) - edits, len(w) + edits + 1) for x in self.letters.get(n, ())):
+                return None
+        return Automaton(w, edits).search(self.trie)
 
     def _look(self, w: str) -> str:
         if w in self.entries or w in self.common:
@@ -206,13 +226,13 @@ class Reader:
         for i in range(len(w) - 1):  # two letters that changed places
             if (swapped := w[:i] + w[i + 1] + w[i] + w[i + 2 :]) in self.entries:
                 return swapped
-        found = Automaton(w, 0).search(self.trie) if odd else None
+        found = self._within(w, 0) if odd else None
         if found is None and len(w) > 3:
-            found = self._once(w)
+            found = self._within(w, 1)
         if found is None and short != w and len(short) > 3:
-            found = self._once(short)
+            found = self._within(short, 1)
         if found is None and odd and len(w) > 7:
-            found = Automaton(w, 2).search(self.trie)
+            found = self._within(w, 2)
         return found or "?"
 
     def _split(self, w: str) -> list[str]:
