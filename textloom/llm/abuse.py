@@ -239,7 +239,7 @@ class Reader:
         """Words written as one, of which one at least is an entry, as few as possible; else the place holder.
 
         Entries of three letters or more and ordinary words may follow each other
-        in any number; single letters only beside them, as what is left of a run of set-apart letters.
+        in any number; a letter or two beside a longer one may be what is left of a run of set-apart letters.
         """
         n = len(w)
         if n < 7:
@@ -261,13 +261,16 @@ class Reader:
                     if best[j][now] is None or cost < best[j][now][0]:
                         best[j][now] = (cost, i, bool(had))
         end = best[n][1]
-        if end is None or end[0] > 2 + n // 6:
+        if end is None:
             return ["?"]
         out, at, had = [], n, 1
         while at:
             _, i, before = best[at][had]
             out.append(w[i:at])
             at, had = i, int(before)
+        stray = sum(len(x) < 3 for x in out)
+        if end[0] > 2 + n // 6 and (stray > 2 or max(map(len, out)) < 5):
+            return ["?"]
         return [x if len(x) > 2 else "?" for x in reversed(out)]
 
     def _parts(self, w: str) -> list[str]:
