@@ -1,3 +1,6 @@
+import math
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -41,6 +44,43 @@ def test_logistic_equals_newton(spark):
         classify.logistic(df, ["a"], "y", c=0)
 
 
+def test_shapley_values_equal_their_definition():
+    random = np.random.RandomState(4)
+
+    def grow(depth):
+        at = len(nodes)
+        nodes.append({"weight": 0.0, "value": 0.0, "feature": -1})
+        if depth == 0 or random.rand() < 0.15:
+            nodes[at] |= {"weight": float(random.randint(1, 9)), "value": random.rand()}
+        else:
+            nodes[at] |= {"feature": int(random.randint(5)), "threshold": random.randn()}
+            nodes[at] |= {"left": grow(depth - 1), "right": grow(depth - 1)}
+            nodes[at]["weight"] = nodes[nodes[at]["left"]]["weight"] + nodes[nodes[at]["right"]]["weight"]
+        return at
+
+    def expect(row, known, at=0):
+        n = nodes[at]
+        if n["feature"] < 0:
+            return n["value"]
+        a, b = nodes[n["left"]]["weight"], nodes[n["right"]]["weight"]
+        if n["feature"] in known:
+            return expect(row, known, n["left"] if row[n["feature"]] <= n["threshold"] else n["right"])
+        return (a * expect(row, known, n["left"]) + b * expect(row, known, n["right"])) / (a + b)
+
+    for _ in range(6):
+        nodes = []
+        grow(5)
+        x = random.randn(4, 5)
+        got = classify.shap_values(nodes, x)
+        for r in range(4):
+            for f in range(5):
+                want = 0.0
+                for k in range(5):
+                    for s in combinations([o for o in range(5) if o != f], k):
+                        want += math.factorial(k) * math.factorial(4 - k) / math.factorial(5) * (expect(x[r], {*s, f}) - expect(x[r], {*s}))
+                assert abs(got[r, f] - want) < 1e-12
+
+
 def test_shapley_values_add_up(spark):
     random = np.random.RandomState(1)
     x = random.randn(200, 3)

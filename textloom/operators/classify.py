@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -147,29 +146,36 @@ def tree_nodes(model) -> list[dict]:
 
 
 def shap_values(nodes: list[dict], x: np.ndarray) -> np.ndarray:
-    """Path-dependent Shapley values of each row and feature of one tree, by enumeration of the used features."""
-    used = sorted({n["feature"] for n in nodes if n["feature"] >= 0})
-    if len(used) > 12:
-        raise ValueError("too many used features for enumeration")
-
-    def expect(row: np.ndarray, known: frozenset[int], at: int = 0) -> float:
-        n = nodes[at]
-        if n["feature"] < 0:
-            return n["value"]
-        left, right = n["left"], n["right"]
-        if n["feature"] in known:
-            return expect(row, known, left if row[n["feature"]] <= n["threshold"] else right)
-        wl, wr = nodes[left]["weight"], nodes[right]["weight"]
-        return (wl * expect(row, known, left) + wr * expect(row, known, right)) / (wl + wr)
+    """Path-dependent Shapley values of each row and feature of one tree, for all rows at once and any number of features.
 
+    A leaf pays its value to rows that take every branch above it. A feature
+    that isn't known takes its branches with the share of the weight that does,
+    so a leaf's pay to a coalition is a product over the features above it, and
+    the average over coalitions of a size is a coefficient of the polynomial
+    whose factors are those features.
+    """
     out = np.zeros(x.shape)
-    m = len(used)
-    for r, row in enumerate(x):
-        value = {frozenset(s): expect(row, frozenset(s)) for k in range(m + 1) for s in combinations(used, k)}
-        for f in used:
-            for s in value:
-                if f not in s:
-                    out[r, f] += math.factorial(len(s)) * math.factorial(m - len(s) - 1) / math.factorial(m) * (value[s | {f}] - value[s])
+    # a leaf's path: for each feature the rows that keep to it and the share of weight that does
+    stack: list[tuple[int, dict[int, tuple[np.ndarray, float]]]] = [(0, {})]
+    while stack:
+        at, path = stack.pop()
+        n = nodes[at]
+        if n["feature"] >= 0:
+            f, goes_left = n["feature"], x[:, n["feature"]] <= n["threshold"]
+            keeps, share = path.get(f, (np.ones(len(x), bool), 1.0))
+            for child, takes in ((n["left"], goes_left), (n["right"], ~goes_left)):
+                part = nodes[child]["weight"] / (nodes[n["left"]]["weight"] + nodes[n["right"]]["weight"])
+                stack.append((child, {**path, f: (keeps & takes, share * part)}))
+            continue
+        d = len(path)
+        for f, (keeps, share) in path.items():
+            by_size = np.zeros((d, len(x)))
+            by_size[0] = 1.0
+            for k, (other, (there, z)) in enumerate((o, v) for o, v in path.items() if o != f):
+                by_size[1 : k + 2] = by_size[1 : k + 2] * z + by_size[: k + 1] * there
+                by_size[0] *= z
+            weights = np.array([math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)])
+            out[:, f] += n["value"] * (weights @ by_size) * (keeps - share)
     return out
 
 

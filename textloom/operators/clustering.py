@@ -410,3 +410,16 @@ def distance_summary(df: DataFrame, key: str, vector: str, dim: int, width: floa
     whole = Window.partitionBy()
     total, s, q = (F.sum(c).over(whole) for c in ("pairs", "s", "q"))
     return bins.select("bin", "pairs", F.round(s / total, 6).alias("mean"), F.round(F.sqrt(q / total - (s / total) * (s / total)), 6).alias("stdev"))
+
+
+def noise_report(df: DataFrame, label: str, probability: str) -> DataFrame:
+    """One row: rows, clusters, rows in none, their share in percent, and the mean probability of the others."""
+    noise = F.col(label) < 0
+    made = df.where(F.col(label).isNotNull()).agg(F.count("*").alias("rows"), F.count_distinct(F.when(~noise, F.col(label))).alias("clusters"), F.count_if(noise).alias("noise"), F.round(F.avg(F.when(~noise, F.col(probability))), 6).alias("mean_probability"))
+    return made.withColumn("noise_percent", F.when(F.col("rows") > 0, F.round(100.0 * F.col("noise") / F.col("rows"), 4)).otherwise(0.0))
+
+
+def enriched(df: DataFrame, label: str, probability: str, outlier_score: str) -> DataFrame:
+    """``df`` with ``membership``: cluster, whether that is noise, probability and outlier score as one struct."""
+    own = F.struct(F.col(label).alias("cluster_id"), (F.col(label) < 0).alias("is_noise"), F.col(probability).alias("probability"), F.col(outlier_score).alias("outlier_score"))
+    return df.withColumn("membership", own)

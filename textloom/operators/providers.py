@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
@@ -12,6 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions import text as T
+from textloom.plans.materialize import Workspace
+
 
 class Embedder(Protocol):
     def __call__(self, texts: list[str]) -> list[list[float]]: ...
@@ -95,3 +99,41 @@ def called(df: DataFrame, key: str, text: str, call: Callable[[list[str]], list]
 
     rows = df.select(key, F.col(text).alias("_t"))
     return rows.mapInPandas(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, `{out}` {kind}")
+
+
+#: Of how many queries that a writer is asked for which one is kept, by kind of prompt: of five from vague to specific the fourth.
+CHOICES = {"single": (1, 0), "ordered": (5, 3)}
+
+
+def chosen_query(answers: DataFrame, key: str, answer: str, choice: str = "single") -> DataFrame:
+    """``key, query``: of an answer, a JSON array of as many different strings as asked for, the one kept; null for any other answer."""
+    wanted, place = CHOICES[choice]
+    return answers.select(key, F.element_at(T.parsed_items(F.col(answer), wanted), place + 1).alias("query"))
+
+
+def generated(df: DataFrame, key: str, text: str, write: Callable[[list[str]], list[str | None]], problem: Callable[[DataFrame], DataFrame], prompt: str, tries: int = 3) -> DataFrame:
+    """``key, query, tries, problem``: queries written for texts, those with a problem written again with it told.
+
+    ``write`` answers prompts, null meaning that there is nothing to write.
+    ``problem`` takes ``key, text, query`` and gives ``key, problem``, null where there is none. After ``tries`` rounds
+    what still has a problem has a null query and its last problem. Each round
+    asks for the rejected texts only; its answers are written, so that no
+    answer is asked for twice. Null texts have no query and are never asked for.
+    """
+    workspace = Workspace(df.sparkSession, "generated")
+    todo = df.select(key, F.col(text).alias("text"), F.lit("").alias("told")).where("text is not null")
+    done = []
+    for attempt in range(1, tries + 1):
+        asked = todo.select(key, F.concat(F.lit(prompt + "\n\n"), "text", "told").alias("prompt"))
+        answers = called(asked, key, "prompt", write, "query", "string")
+        held = workspace.cut(todo.drop("told").join(answers, key))
+        judged = problem(held.where("query is not null")).select(key, "problem")
+        both = workspace.cut(held.join(judged, key, "left"))
+        last = attempt == tries
+        final = both if last else both.where("problem is null")
+        done.append(final.select(key, F.when(F.col("problem").isNull(), F.col("query")).alias("query"), F.lit(attempt).alias("tries"), "problem"))
+        told = F.concat(F.lit("\n\nNot accepted: "), "query", F.lit("\nBecause: "), "problem", F.lit("\nWrite another one."))
+        todo = both.where("problem is not null").select(key, "text", told.alias("told"))
+        if last or todo.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done)

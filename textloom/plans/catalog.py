@@ -15,6 +15,7 @@ from textloom.functions.lexicons import COMMON_WORDS, FORM_WORDS, ID_SUFFIXES, L
 from textloom.operators import classify, clustering, features, graph, incremental, manifold, providers, ranking, sampling, stats, stylometry, validation
 from textloom.operators import tests_of_association as association
 from textloom.plans.materialize import Workspace
+from textloom.sources import indexes
 from textloom.streaming.incremental import windowed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -707,6 +708,12 @@ def cluster_density(spark, folder):
     return spark.createDataFrame(pd.concat([rows[["vec_id"]], clustering.density_clusters(d)], axis=1))
 
 
+@query("SELECT count(*) AS rows, count(DISTINCT CASE WHEN c >= 0 THEN c END) AS clusters, count_if(c < 0) AS noise, round(avg(CASE WHEN c >= 0 THEN p END), 6) AS mean_probability, round(100.0 * count_if(c < 0) / count(*), 4) AS noise_percent FROM (SELECT CASE WHEN rank > 60 THEN -1 ELSE rank % 7 END AS c, coalesce(cosine_similarity, 0) AS p FROM ranking_result WHERE rank IS NOT NULL)")
+def cluster_noise(spark, folder):
+    rows = _t(spark, folder, "ranking_result").where("rank is not null").select(F.when(F.col("rank") > 60, -1).otherwise(F.col("rank") % 7).alias("c"), F.coalesce("cosine_similarity", F.lit(0.0)).alias("p"))
+    return clustering.noise_report(rows, "c", "p")
+
+
 @query("WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), d AS (SELECT a.vec_id, a.label, b.label AS other, sum(CASE WHEN a.vec_id = b.vec_id THEN 0 ELSE list_distance(a.v, b.v) END) AS s, count(*) AS n FROM e a, e b GROUP BY 1, 2, 3), r AS (SELECT vec_id, label, max(CASE WHEN label = other AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN label <> other THEN s / n END) AS b FROM d GROUP BY 1, 2) SELECT vec_id, CAST(label AS INT) AS label, round(coalesce(a, 0), 6) AS a, round(b, 6) AS b, round(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS width FROM r")
 def cluster_silhouettes(spark, folder):
     return clustering.silhouettes(_t(spark, folder, "embeddings"), "vec_id", "embedding", "label", 64)
@@ -908,6 +915,18 @@ def src_hard_with_embedding(spark, folder):
     return kept.groupBy("source").agg(F.count("*").alias("kept"), F.countDistinct("id").alias("ids"))
 
 
+@query("WITH q AS (SELECT min(row_id) AS row_id, id FROM query_record WHERE id IS NOT NULL AND trim(id) <> '' AND trim(paragraph_id) <> '' AND trim(query) <> '' GROUP BY id) SELECT source, count(*) AS skipped FROM q JOIN query_record USING (row_id) WHERE contains(q.id, '_hard') AND q.id NOT IN (SELECT id FROM embedded_query WHERE id IS NOT NULL) GROUP BY source")
+def src_skipped_hard(spark, folder):
+    """Hard queries of two files, odd and even rows, that an index lacks; blank and repeated ones are taken out before."""
+    rows = _t(spark, folder, "query_record").where("id is not null and trim(id) <> '' and trim(paragraph_id) <> '' and trim(query) <> ''")
+    first = rows.groupBy("id").agg(F.min_by(F.struct("row_id", "paragraph_id", "query", "source"), "row_id").alias("r")).select("id", "r.*")
+    named = first.select("id", "paragraph_id", "query", F.col("source").alias("batch"), "row_id")
+    files = {"odd": named.where("row_id % 2 = 1"), "even": named.where("row_id % 2 = 0")}
+    hard = indexes.query_records(files, hard_only=True)
+    _, skipped = indexes.kept_and_skipped(hard.drop("source").join(named.select("id", F.col("batch").alias("source")), "id"), _t(spark, folder, "embedded_query"))
+    return skipped
+
+
 @query(f"SELECT embedding_model, count(*) AS vectors, count(DISTINCT id) AS ids, round(sum(sqrt(list_dot_product({_D}, {_D}))), 3) AS lengths FROM corpus_embedding WHERE {_OK} GROUP BY embedding_model")
 def src_embedding_index(spark, folder):
     rows = _t(spark, folder, "corpus_embedding").where(A.usable(F.col("embedding"), 64))
